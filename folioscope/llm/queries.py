@@ -1,9 +1,13 @@
 """The queries of the corpus operators, one an operator, and their SQL where SQL can express them."""
 
 from .mixing import OP4_SQL, op4_mixing
+from .quality import op1_quality
+from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op4_mixing": op4_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
