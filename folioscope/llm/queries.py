@@ -2,11 +2,13 @@
 
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op1_quality
+from .simhash import op7_simhash
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_mixing": op4_mixing,
+    "op7_simhash": op7_simhash,
     "op10_toxicity": op10_toxicity,
 }
 

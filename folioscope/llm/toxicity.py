@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ from .subwords import codepoints, windows
 
 ORDER = 5
 DISCOUNT = 0.75
-WINDOW = 24
+WINDOW = 2
+#: Runs count as at least so many characters, so that one short odd word is weak evidence.
+LEAST_CHARS = 12
 TRAIN_ROWS = 2000
 TRAIN_CHARS = 5_000_000
 THRESHOLD = 0.3
@@ -157,15 +160,13 @@ def evidence(text: pa.Array, gram: Counts, context: Counts) -> np.ndarray:
         stop = np.repeat(offsets[1:], np.diff(offsets))
         a = np.arange(len(codes))
         b = np.minimum(a + WINDOW, stop)
-        run = (sv[b] - sv[a]) / np.maximum(sn[b] - sn[a], 40)
+        run = (sv[b] - sv[a]) / np.maximum(sn[b] - sn[a], LEAST_CHARS)
         full = np.diff(offsets) > 0
         largest[full] = np.maximum.reduceat(run, offsets[:-1][full])
     return np.stack([mean, largest], axis=1)
 
 
 def _lower(text: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     return pc.utf8_lower(text.cast(pa.large_string()))
