@@ -86,3 +86,13 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values in each segment; empty segments give 0."""
     total = np.concatenate([np.zeros(1, dtype=np.float64), np.cumsum(values, dtype=np.float64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def pieces(batch: pa.RecordBatch, at: int, limit: int = 4 << 20):
+    """Slices of a batch of about `limit` bytes of text in column `at` (one row at least), so that what is derived from
+    a slice stays small however Arrow batches are cut."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64)
+    cut = (np.cumsum(size) - size) // limit
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(cut)) + 1, [batch.num_rows]]) if batch.num_rows else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(int(a), int(b - a))
