@@ -31,7 +31,7 @@ from .common import materialize, table
 from .components import components
 
 COSINE = 0.98
-FILTERS = 64
+FILTERS = 96
 TILE = 1024
 #: Classes that one task compares at a time, counted once for each filter they pass.
 CELL = 60_000

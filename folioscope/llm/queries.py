@@ -1,17 +1,22 @@
 """The queries of the corpus operators, one an operator, and their SQL where SQL can express them."""
 
 from .mixing import OP4_SQL, op4_mixing
+from .neardup_vectors import op2_vector_neardup
 from .quality import op1_quality
 from .simhash import op7_simhash
+from .topk import OP5_SQL, op5_topk
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_vector_neardup": op2_vector_neardup,
     "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
     "op7_simhash": op7_simhash,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
     "op4_mixing": OP4_SQL,
+    "op5_topk": OP5_SQL,
 }
