@@ -2,8 +2,10 @@
 
 from .mixing import OP4_SQL, op4_mixing
 from .neardup_vectors import op2_vector_neardup
+from .packing import op6_packing
 from .quality import op1_quality
 from .simhash import op7_simhash
+from .token_files import op9_token_files
 from .topk import OP5_SQL, op5_topk
 from .toxicity import op10_toxicity
 
@@ -12,7 +14,9 @@ QUERIES = {
     "op2_vector_neardup": op2_vector_neardup,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
+    "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
 }
 
