@@ -1,5 +1,7 @@
 """The queries of the corpus operators, one an operator, and their SQL where SQL can express them."""
 
+from .html_extract import op8_html
+from .lm import op3_lm
 from .mixing import OP4_SQL, op4_mixing
 from .neardup_vectors import op2_vector_neardup
 from .packing import op6_packing
@@ -12,10 +14,12 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_vector_neardup": op2_vector_neardup,
+    "op3_lm": op3_lm,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_html": op8_html,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
 }

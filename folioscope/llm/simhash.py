@@ -186,7 +186,7 @@ def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHI
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = materialize(ids.select(F.col("doc_id").alias("gone_id")), "simhash-gone")
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["gone_id"]), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
