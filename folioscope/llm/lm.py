@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, discard, encode_words, materialize, segment_sums, table
 
 MOD, HELD_OUT = 7, 2
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 #: Keys that a bucket should hold at most.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 1_000_000
 LEVELS = 41
 STEP = 4  # histogram cells a factor of two
 _MULT = np.uint64(0x9E3779B97F4A7C15)
