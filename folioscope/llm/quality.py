@@ -31,8 +31,8 @@ NGRAMS = (2, 3, 4)
 EPOCHS = 12
 BATCH = 32
 RATE = 0.6
-TRAIN_ROWS = 2000
-TRAIN_CHARS = 4_000_000
+TRAIN_ROWS = 1200
+TRAIN_CHARS = 2_500_000
 THRESHOLD = 0.3
 MOD, HELD_OUT = 5, 0
 

@@ -34,8 +34,8 @@ DISCOUNT = 0.75
 WINDOW = 2
 #: Runs count as at least so many characters, so that one short odd word is weak evidence.
 LEAST_CHARS = 12
-TRAIN_ROWS = 2000
-TRAIN_CHARS = 5_000_000
+TRAIN_ROWS = 1200
+TRAIN_CHARS = 2_500_000
 THRESHOLD = 0.3
 MOD, HELD_OUT = 4, 2
 
