@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, discard, encode_words, materialize, segment_sums, table
 
 MOD, HELD_OUT = 7, 2
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Keys that a bucket should hold at most.
 BUCKET_KEYS = 1_000_000
 LEVELS = 41
@@ -122,7 +122,8 @@ class Chunk:
 def _requests(bits: int):
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 c = Chunk(r["lens"], r["train"], r["codes"], r["hashes"])
                 rows = []
                 for kind, (keys, order, n) in enumerate(zip(c.keys, c.order, c.counts(), strict=True)):
