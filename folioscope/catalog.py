@@ -1,8 +1,10 @@
 """Registered queries of the page-quality engine and the SQL that must agree with them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+SQL = {**text_queries.SQL}
 
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    return text_queries.ttr(spark, sf_dir)

@@ -16,6 +16,12 @@ MOJIBAKE = "�|Ã[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ]|Â[\xa0-\xbf]|â
 CONTROL = r"[\p{Cc}\p{Cf}&&[^\t\n\r]]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: expressions that a lambda refers to are otherwise computed again for each
+    element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nz(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -87,45 +93,40 @@ def is_pronounceable(token: Column) -> Column:
     return F.when(n <= 2, True).otherwise((share >= 0.18) & (share <= 0.90) & ~odd)
 
 
-def counts(items: Column) -> Column:
-    """Map of each distinct element to how often it occurs, in order of first occurrence, without leaving the row."""
-    return F.aggregate(items, F.expr("map()").cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x), F.create_map(x, F.coalesce(F.try_element_at(m, x), F.lit(0)) + 1)))
-
-
 def char_counts(text: Column) -> Column:
     """array<struct<ch, n>> of lower-cased letters: distinct letters, each counted once by length differences."""
-    chars = letters(text)
-    joined = F.array_join(chars, "")
-    return F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("ch"), (F.length(joined) - F.length(F.replace(joined, c, F.lit("")))).alias("n")))
+    joined = F.regexp_replace(F.lower(nz(text)), r"[^\p{L}]", "")
+    each = lambda t: F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
+    return let(joined, lambda t: F.transform(each(t), lambda c: F.struct(c.alias("ch"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).alias("n"))))
+
+
+def letter_shares(text: Column) -> Column:
+    """array<struct<ch, p>>: the share of each letter."""
+    total = lambda per: F.aggregate(per, F.lit(0), lambda a, x: a + x["n"])
+    return let(char_counts(text), lambda per: let(total(per), lambda n: F.transform(per, lambda x: F.struct(x["ch"].alias("ch"), (x["n"] / n).alias("p")))))
 
 
 def shannon_entropy(text: Column) -> Column:
     """Bits a character over lower-cased letters."""
-    per = char_counts(text)
-    total = F.aggregate(per, F.lit(0), lambda a, x: a + x["n"])
-    return F.aggregate(per, F.lit(0.0), lambda a, x: a - (x["n"] / total) * F.log2(x["n"] / total))
+    return F.aggregate(letter_shares(text), F.lit(0.0), lambda a, x: a - x["p"] * F.log2(x["p"]))
 
 
-def letter_baseline(lang: Column) -> Column:
-    """Map letter -> expected share; English where the language has none."""
-    of = lambda k: F.create_map(*[F.lit(v) for pair in LETTERS[k].items() for v in pair])
+def letter_baseline(lang: Column, ch: Column) -> Column:
+    """Expected share of a letter, null outside the alphabet; English where the language has none."""
+    of = lambda k: F.try_element_at(F.create_map(*[F.lit(v) for pair in LETTERS[k].items() for v in pair]), ch)
     return F.when(F.substring(F.coalesce(lang, F.lit("en")), 1, 2) == "de", of("de")).otherwise(of("en"))
 
 
 def kl_divergence(text: Column, lang: Column) -> Column:
     """Divergence of the letters of a text from its language's, at least 0."""
-    per, base = char_counts(text), letter_baseline(lang)
-    total = F.aggregate(per, F.lit(0), lambda a, x: a + x["n"])
-    term = lambda x: (x["n"] / total) * F.log2((x["n"] / total) / F.coalesce(F.try_element_at(base, x["ch"]), F.lit(LETTER_FLOOR)))
-    return F.greatest(F.lit(0.0), F.aggregate(per, F.lit(0.0), lambda a, x: a + term(x)))
+    term = lambda x: x["p"] * F.log2(x["p"] / F.coalesce(letter_baseline(lang, x["ch"]), F.lit(LETTER_FLOOR)))
+    return F.greatest(F.lit(0.0), F.aggregate(letter_shares(text), F.lit(0.0), lambda a, x: a + term(x)))
 
 
 def odd_letters(text: Column, lang: Column) -> Column:
     """Letters outside the baseline that add more than 0.15 to the divergence."""
-    per, base = char_counts(text), letter_baseline(lang)
-    total = F.aggregate(per, F.lit(0), lambda a, x: a + x["n"])
-    big = lambda x: (x["n"] / total) * F.log2((x["n"] / total) / LETTER_FLOOR) > 0.15
-    return F.transform(F.filter(per, lambda x: F.try_element_at(base, x["ch"]).isNull() & big(x)), lambda x: x["ch"])
+    big = lambda x: x["p"] * F.log2(x["p"] / LETTER_FLOOR) > 0.15
+    return F.transform(F.filter(letter_shares(text), lambda x: letter_baseline(lang, x["ch"]).isNull() & big(x)), lambda x: x["ch"])
 
 
 def mojibake_hits(text: Column) -> Column:
@@ -143,14 +144,13 @@ def normalize(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by spaces."""
-    last = F.size(tokens) - n + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("array()").cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    last = lambda t: F.size(t) - n + 1
+    at = lambda t: F.when(last(t) >= 1, F.sequence(F.lit(1), last(t))).otherwise(F.expr("cast(array() as array<int>)"))
+    return let(tokens, lambda t: F.transform(at(t), lambda i: F.array_join(F.slice(t, i, n), " ")))
 
 
 def trigram_repetition(text: Column) -> Column:
-    grams = ngrams(word_tokens(F.lower(nz(text))), 3)
-    return F.when(F.size(grams) > 0, 1 - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(0.0)
+    return let(ngrams(word_tokens(F.lower(nz(text))), 3), lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0))
 
 
 def text_recall(page: Column, other: Column) -> Column:
@@ -168,10 +168,11 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edit distance over words: each distinct word of the two becomes one private character."""
-    ref, hyp = F.split(normalize(reference), " "), F.split(normalize(hypothesis), " ")
-    both = F.array_distinct(F.concat(ref, hyp))
-    coded = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x10000), 8, "0")), "UTF-32")), "")
-    return F.when((normalize(reference) != "") & ~is_blank(hypothesis), F.levenshtein(coded(ref), coded(hyp)) / F.size(ref))
+    sides = F.struct(F.split(normalize(reference), " ").alias("ref"), F.split(normalize(hypothesis), " ").alias("hyp"))
+    one = lambda both, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x10000), 8, "0")), "UTF-32")
+    coded = lambda both, words: F.array_join(F.transform(words, lambda w: one(both, w)), "")
+    rate = let(sides, lambda s: let(F.array_distinct(F.concat(s["ref"], s["hyp"])), lambda both: F.levenshtein(coded(both, s["ref"]), coded(both, s["hyp"])) / F.size(s["ref"])))
+    return F.when((normalize(reference) != "") & ~is_blank(hypothesis), rate)
 
 
 def bracket_defects(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import STOPWORDS, WHITELIST
-from ..functions.text import is_blank, is_numbery, is_pronounceable, language_by_stopwords, ngrams, normalize, sentences, word_tokens
+from ..functions.text import is_blank, is_numbery, is_pronounceable, language_by_stopwords, let, ngrams, normalize, sentences, word_tokens
 
 PAGE = ["doc_id", "page_no"]
 ADD_K = 0.1
@@ -83,9 +83,9 @@ def prepared(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Character trigrams of a prepared text."""
-    last = F.length(text) - 2
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(at, lambda i: F.substring(text, i, F.lit(3)))
+    last = lambda t: F.length(t) - 2
+    at = lambda t: F.when(last(t) >= 1, F.sequence(F.lit(1), last(t))).otherwise(F.expr("cast(array() as array<int>)"))
+    return let(text, lambda t: F.transform(at(t), lambda i: F.substring(t, i, F.lit(3))))
 
 
 def trigram_model(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -134,11 +134,11 @@ def bgc(c: Config) -> Column:
     sound = F.filter(boxed, lambda b: ~M.degenerate(b["bbox"]))
     content = F.filter(sound, is_content)
     share = lambda a, b: M.overlap_area(a["bbox"], b["bbox"]) / F.least(M.area(a["bbox"]), M.area(b["bbox"]))
-    pairs = F.flatten(F.transform(content, lambda a, i: F.transform(F.filter(F.slice(content, i + 2, F.greatest(F.size(content) - i - 1, F.lit(0))), lambda b: share(a, b) > 0.5), lambda b: F.struct(a["block_id"].alias("a"), b["block_id"].alias("b"), block_name(a).alias("an"), block_name(b).alias("bn"), share(a, b).alias("share")))))
-    bad_box = F.filter(boxed, lambda b: M.degenerate(b["bbox"]) | M.outside(b["bbox"], width, height))
+    pairs = T.let(content, lambda content: F.flatten(F.transform(content, lambda a, i: F.transform(F.filter(F.slice(content, i + 2, F.greatest(F.size(content) - i - 1, F.lit(0))), lambda b: share(a, b) > 0.5), lambda b: F.struct(a["block_id"].alias("a"), b["block_id"].alias("b"), block_name(a).alias("an"), block_name(b).alias("bn"), share(a, b).alias("share"))))))
+    bad_box = T.let(F.struct(width.alias("w"), height.alias("h")), lambda s: F.filter(boxed, lambda b: M.degenerate(b["bbox"]) | M.outside(b["bbox"], s["w"], s["h"])))
     ids = F.array_distinct(F.concat(F.transform(bad_box, lambda b: b["block_id"]), F.flatten(F.transform(pairs, lambda p: F.array(p["a"], p["b"])))))
     tops = F.transform(sound, lambda b: b["bbox"][1])
-    jumps = F.size(F.filter(F.transform(tops, lambda y, i: F.when(i > 0, y < F.try_element_at(tops, i) - height * 0.25).otherwise(False)), lambda x: x))
+    jumps = T.let(F.struct(tops.alias("y"), height.alias("h")), lambda s: F.size(F.filter(F.transform(s["y"], lambda y, i: F.when(i > 0, y < F.try_element_at(s["y"], i) - s["h"] * 0.25).otherwise(False)), lambda x: x)))
     bad = F.size(ids) + jumps
     raw = F.least(F.lit(1.0), bad / n)
     box = lambda b: F.to_json(b["bbox"])
@@ -150,7 +150,7 @@ def bgc(c: Config) -> Column:
     evidence = F.when(F.size(found) > 0, found).otherwise(texts(fmt("all %d boxes have valid geometry within the page", n)))
     score = T.lerp_score(raw, 0.0, 0.4)
     just = F.when(bad > 0, fmt("%d/%d blocks have geometry problems (%.1f%%).", bad, n, raw * 100)).otherwise(fmt("All %d blocks have coherent geometry.", n))
-    where = F.transform(F.filter(boxed, lambda b: F.array_contains(ids, b["block_id"])), lambda b: location("bad_geometry", "definite", b, F.substring(F.coalesce(F.nullif(b["text"], F.lit("")), b["block_type"]), 1, 60)))
+    where = F.transform(T.let(ids, lambda ids: F.filter(boxed, lambda b: F.array_contains(ids, b["block_id"]))), lambda b: location("bad_geometry", "definite", b, F.substring(F.coalesce(F.nullif(b["text"], F.lit("")), b["block_type"]), 1, 60)))
     full = result("BGC", raw, score, T.status_of(score), {"bad_rate_zero_at": 0.0, "bad_rate_bad_at": 0.4}, "(degenerate + outside + overlapping + out of order) / boxes", fmt("%d of %d boxes are broken; first: %s", bad, n, evidence[0]), evidence, just, where)
     return F.when(n == 0, na("BGC", "no block bboxes on this page")).otherwise(full)
 
