@@ -113,16 +113,15 @@ def bcc(c: Config) -> Column:
     by_median = result("BCC", F.greatest(F.lit(0.0), 1 - ratio), F.when(few, 40.0).otherwise(100.0), F.when(few, "warn").otherwise("good"), limits, "no recorded count; compared with the document's median", "", texts(fmt("json=%d blocks vs document median %.0f (ratio %.2f)", n, median, ratio)), F.concat(fmt("No metadata count; page has %d blocks vs median %.0f", n, median), F.when(few, " — abnormally low (possible content drop).").otherwise(".")))
     base = F.when(meta.isNotNull(), counted).when(F.coalesce(median, F.lit(0.0)) != 0, by_median).otherwise(na("BCC", "no metadata num_blocks and no document median available"))
     lost = F.col("chunk_meta")["chunks_present"] & ~F.coalesce(F.col("chunk_meta")["covered"], F.lit(False))
-    changed = {
+    changed = lambda b: {
         "applicable": F.lit(True),
-        "score": F.least(base["score"], F.lit(55.0)),
-        "status": F.when(base["status"].isin("good", "na"), "warn").otherwise(base["status"]),
-        "evidence": F.concat(base["evidence"], texts(F.lit("page not covered by any output_chunks entry — possible chunk/content drop"))),
-        "justification": F.concat(base["justification"], F.lit(" Also: page is absent from output_chunks (possible content drop).")),
+        "score": F.least(b["score"], F.lit(55.0)),
+        "status": F.when(b["status"].isin("good", "na"), "warn").otherwise(b["status"]),
+        "evidence": F.concat(b["evidence"], texts(F.lit("page not covered by any output_chunks entry — possible chunk/content drop"))),
+        "justification": F.concat(b["justification"], F.lit(" Also: page is absent from output_chunks (possible content drop).")),
     }
     order = "metric_ord key name raw_value score status threshold what_it_measures how_computed example evidence locations justification reliability applicable hard_fail".split()
-    dropped = F.struct(*[changed.get(f, base[f]).alias(f) for f in order])
-    return F.when(F.coalesce(lost, F.lit(False)), dropped).otherwise(base)
+    return T.let(base, lambda b: F.when(F.coalesce(lost, F.lit(False)), F.struct(*[changed(b).get(f, b[f]).alias(f) for f in order])).otherwise(b))
 
 
 def bgc(c: Config) -> Column:
@@ -158,7 +157,7 @@ def bgc(c: Config) -> Column:
 def hmw(c: Config) -> Column:
     html = F.filter("blocks", lambda b: T.nz(b["html"]).contains("<"))
     n = F.size(html)
-    judged = F.filter(F.transform(html, lambda b: F.struct(b.alias("b"), M.malformed(b["html"]).alias("why"))), lambda x: x["why"].isNotNull())
+    judged = F.col("judged")
     k = F.size(judged)
     raw = k / n
     cut = lambda x: F.replace(F.substring(T.strip(x["b"]["html"]), 1, 60), F.lit("\n"), F.lit(" "))
@@ -247,7 +246,7 @@ def stopword_count(words: Column, lang: Column) -> Column:
 
 def sfc(c: Config) -> Column:
     lang, n = stopword_language(F.col("language")), F.size("words")
-    seen = stopword_count(F.col("words"), lang) / n
+    seen = F.col("stop_n") / n
     expected = F.when(lang == "de", STOPWORD_SHARE["de"]).otherwise(STOPWORD_SHARE["en"])
     raw = F.abs(seen - expected)
     score = T.lerp_score(raw, 0.0, STOPWORD_BAND)
@@ -263,9 +262,9 @@ def ced(c: Config) -> Column:
     base = T.lerp_score(kl, c.ced_kl_good, c.ced_kl_bad)
     score = F.when(k > 0, F.least(base, F.greatest(F.lit(0.0), 60.0 - k * 15.0))).otherwise(base)
     score = F.when(hard, F.least(score, F.lit(15.0))).otherwise(score)
-    distinct, odd = F.array_distinct(hits), T.odd_letters(F.col("prose"), F.col("language"))
+    distinct, odd = F.array_distinct(hits), F.col("odd")
     show = lambda n: F.array_join(F.transform(F.slice(distinct, 1, n), lambda h: F.concat(F.lit("'"), h, F.lit("'"))), " ")
-    evidence = texts((k > 0, F.concat(F.lit("mojibake: "), show(6))), (F.size(odd) > 0, F.concat(F.lit("over-represented odd chars: "), F.array_join(F.slice(odd, 1, 8), " "))), fmt("entropy=%.2f bits/char, KL=%.3f", T.shannon_entropy(F.col("prose")), kl))
+    evidence = texts((k > 0, F.concat(F.lit("mojibake: "), show(6))), (F.size(odd) > 0, F.concat(F.lit("over-represented odd chars: "), F.array_join(F.slice(odd, 1, 8), " "))), fmt("entropy=%.2f bits/char, KL=%.3f", F.col("entropy"), kl))
     where = F.transform(F.slice(distinct, 1, 8), lambda h: location("mojibake", "definite", block_with(h), h))
     just = F.concat(fmt(f"KL divergence %.3f (good ≤{c.ced_kl_good}, bad ≥{c.ced_kl_bad}); %d mojibake/encoding hit(s)", kl, k), F.when(hard, f" ≥ hard threshold {c.ced_mojibake_bad} — encoding corruption.").otherwise("."))
     full = result("CED", kl, score, T.status_of(score), {"kl_good": c.ced_kl_good, "kl_bad": c.ced_kl_bad, "mojibake_hard_at": c.ced_mojibake_bad}, "divergence of letters from the language, and a count of decoding artefacts", F.when(k > 0, fmt("%d decoding artefact(s), such as %s.", k, show(3))).otherwise(fmt("No decoding artefact; divergence %.2f.", kl)), evidence, just, where, F.col("low"), hard=hard)
@@ -286,18 +285,16 @@ def ppl(c: Config) -> Column:
 
 
 def ttr_parts(words: Column) -> dict[str, Column]:
-    low_words = F.transform(words, F.lower)
-    types = F.array_distinct(low_words)
-    n, k = F.size(words), F.size(types)
-    ratio = k / n
+    counted = T.let(F.array_distinct(F.transform(words, F.lower)), lambda t: F.struct(F.size(t).alias("types"), F.size(F.filter(t, lambda x: ~T.is_pronounceable(x))).alias("junk")))
+    n, k = F.size(words), counted["types"]
+    ratio, junk = k / n, counted["junk"] / k
     low, high = T.expected_band(n)
-    junk = F.size(F.filter(types, lambda t: ~T.is_pronounceable(t))) / k
     dist = F.when(ratio < low, low - ratio).when(ratio > high, ratio - high + F.when(junk > 0.3, 0.1).otherwise(0.0)).otherwise(0.0)
     return {"n": n, "types": k, "ratio": ratio, "low": low, "high": high, "junk": junk, "score": F.greatest(F.lit(0.0), 100.0 - (dist / 0.30) * 100.0)}
 
 
 def ttr(c: Config) -> Column:
-    p = ttr_parts(F.col("words"))
+    p = F.col("diversity")
     n, ratio, low, high, score = p["n"], p["ratio"], p["low"], p["high"], p["score"]
     tail = F.when(ratio < low, "low (looping/repetition)").when(ratio > high, "high (possible fragmentation)").otherwise("in-band")
     note = F.when(ratio > high, fmt("; %.0f%% of unique types are unpronounceable", p["junk"] * 100)).otherwise("")
@@ -404,6 +401,11 @@ def features(pages: DataFrame, config: Config, lexicon: DataFrame | None = None)
         {
             "low": (F.size("words") < config.short_page_token_floor) | (T.nz(F.col("language")) == ""),
             "kl": T.kl_divergence(F.col("prose"), F.col("language")),
+            "entropy": T.shannon_entropy(F.col("prose")),
+            "odd": T.odd_letters(F.col("prose"), F.col("language")),
+            "stop_n": stopword_count(F.col("words"), stopword_language(F.col("language"))),
+            "diversity": F.struct(*[v.alias(k) for k, v in ttr_parts(F.col("words")).items()]),
+            "judged": F.filter(F.transform(F.filter("blocks", lambda b: T.nz(b["html"]).contains("<")), lambda b: F.struct(b.alias("b"), M.malformed(b["html"]).alias("why"))), lambda x: x["why"].isNotNull()),
             "mojibake": T.mojibake_hits(F.col("prose")),
             "shapes": F.struct(*[v.alias(k) for k, v in shapes.items()]),
             "punct": F.struct(*[v.alias(k) for k, v in punct.items()]),
