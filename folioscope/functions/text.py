@@ -238,5 +238,5 @@ def strip_html(html: Column) -> Column:
     text = F.regexp_replace(nz(html), r"<[^>]+>", " ")
     for name, value in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"')):
         text = F.replace(text, F.lit(name), F.lit(value))
-    text = F.regexp_replace(text, "[ \t ]+", " ")
+    text = F.regexp_replace(text, "[ \t\u00a0]+", " ")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))

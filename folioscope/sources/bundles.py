@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json as json_module
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ def read_text(source) -> str:
         return source.decode("utf-8")
     if hasattr(source, "read"):
         return read_text(source.read())
-    if isinstance(source, Path) or isinstance(source, str) and len(source) < 4096 and "\n" not in source and Path(source).is_file():
+    if isinstance(source, Path) or isinstance(source, str) and os.path.isfile(source):
         return Path(source).read_text(encoding="utf-8")
     return str(source)
 
