@@ -33,6 +33,8 @@ from .components import components
 COSINE = 0.98
 FILTERS = 96
 TILE = 1024
+#: Below so many dimensions the code has fewer, wider caps.
+SMALL = 8
 #: Classes that one task compares at a time, counted once for each filter they pass.
 CELL = 60_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +61,12 @@ def code(dim: int, base: int) -> tuple[np.ndarray, list[np.ndarray], float]:
     a, b = x[:, : cuts[0]] @ words[0].T, x[:, cuts[0] :] @ words[1].T
     many = min(base, 256)
     sums = a[:, :many, None] + b[:, None, :many]
-    return rotation, words, float(np.quantile(sums, max(0.0, 1 - FILTERS / base**2)))
+    alpha = float(np.quantile(sums, max(0.0, 1 - FILTERS / base**2)))
+    if dim < SMALL:  # few directions differ in few dimensions; caps so wide that every vector is well inside one
+        words = [np.unique(w.round(9), axis=0)[: 4 ** w.shape[1]] if w.shape[1] else w[:1] for w in words]
+        best = (x[:, : cuts[0]] @ words[0].T).max(axis=1) + (x[:, cuts[0] :] @ words[1].T).max(axis=1)
+        alpha = 0.7 * float(best.min())
+    return rotation, words, alpha
 
 
 def decode(vectors: np.ndarray, base: int) -> list[np.ndarray]:

@@ -99,8 +99,8 @@ def document_features(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, seed: int = 1) -> Model:
     """prior: share of label 1 among all labelled rows; the sample holds the classes as it will, and rows weigh so that
     the scores follow the prior."""
-    share = float(np.mean(labels)) if len(labels) else 0.5
-    if not 0 < share < 1:
+    share = float(np.mean(labels)) if len(labels) else prior
+    if not len(labels) or not 0 < share < 1:
         p = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     weigh = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))

@@ -106,7 +106,7 @@ def forest(values: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np
             near = some[np.bitwise_count(differ[some]) <= max_bits]
             if len(near):
                 found = left[near]
-                a.append(np.full(len(found), x))
+                a.append(np.full(len(found), x, dtype=np.uint64))
                 b.append(found)
                 queue.extend(found.tolist())
                 left = np.delete(left, near)
