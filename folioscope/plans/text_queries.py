@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import context as C
 from ..operators import metrics as X
 from ..operators.pages import from_texts, with_text
+from ..session import spread
 
 R6 = lambda c: F.round(c.cast("double"), 6)
 LONG = lambda c: c.cast("long")
@@ -55,11 +56,11 @@ def in_list(words: list[str]) -> str:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.read.parquet(f"{d}/conversations.parquet")
+    c = spread(spark.read.parquet(f"{d}/conversations.parquet"))
     return c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "role", "text")
 
 

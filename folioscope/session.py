@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -17,3 +17,10 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *[p for p in paths if p]])
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as the session has cores.  A file that Spark cannot split leaves cores idle;
+    larger inputs have more splits than cores and pass through unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
