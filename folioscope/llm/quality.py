@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in (x for batch in batches for x in pieces(batch, 1)):
+        for b in (x for batch in batches for x in pieces(batch, 1, 1 << 20)):
             z = margins(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
@@ -157,7 +157,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in (x for batch in batches for x in pieces(batch, at)):
+        for b in (x for batch in batches for x in pieces(batch, at, 1 << 20)):
             keep = 1 / (1 + np.exp(-margins(b.column(at), model.value))) >= threshold
             yield b.filter(pa.array(keep))
 

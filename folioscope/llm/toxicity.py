@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in (x for batch in batches for x in pieces(batch, 1)):
+        for b in (x for batch in batches for x in pieces(batch, 1, 1 << 20)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probabilities(b.column(1), shared.value))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
@@ -239,7 +239,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in (x for batch in batches for x in pieces(batch, at)):
+        for b in (x for batch in batches for x in pieces(batch, at, 1 << 20)):
             yield b.filter(pa.array(probabilities(b.column(at), model.value) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
