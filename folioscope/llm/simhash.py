@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import materialize, table
 from .components import components
@@ -160,9 +160,13 @@ def groups(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> D
     return out.select("doc_id", "fp", F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, and one of its rows if it is repeated."""
-    found = materialize(groups(docs, max_bits, width), "simhash-groups")
+def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id, and one of its rows if it is repeated.  index gives
+    (doc_id, fp, component_id) and mark the fp of one text; by default those of the 64-bit index."""
+    index = index or groups
+    mark = mark or (lambda t: int.from_bytes(fingerprint(t), "big", signed=True))
+    found = materialize(index(docs), "simhash-groups")
+    kind = found.schema["fp"].dataType
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-again")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     out = _without(docs, found.where(~first).select("doc_id").union(again.select("doc_id")).distinct())
@@ -173,10 +177,10 @@ def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHI
 
         def run(batches):
             for x in batches:
-                fp = b"".join([fingerprint(t.as_py(), width) for t in x.column(at)])
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.frombuffer(fp, dtype=">i8").astype(np.int64))], [*x.schema.names, fp_name])
+                fp = pa.array([mark(t.as_py()) for t in x.column(at)], pa.binary() if isinstance(kind, BinaryType) else pa.int64())
+                yield pa.RecordBatch.from_arrays([*x.columns, fp], [*x.schema.names, fp_name])
 
-        marked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(fp_name, LongType())]))
+        marked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(fp_name, kind)]))
         keep = found.where(first).select(F.col("doc_id").alias("keep_id"), F.col("fp").alias("keep_fp")).distinct()
         hit = marked["doc_id"].eqNullSafe(keep["keep_id"]) & (marked[fp_name] == keep["keep_fp"])
         out = out.unionByName(marked.join(keep, hit, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
