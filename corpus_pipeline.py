@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import mixing, packing, quality, simhash, toxicity
+from folioscope.llm import mixing, packing, quality, simhash, simhash_wide, toxicity
 from folioscope.llm.common import materialize, table
 from folioscope.session import ship
 
@@ -26,7 +26,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, simhash_wide.groups, simhash_wide.fingerprint)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
