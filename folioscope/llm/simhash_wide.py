@@ -114,7 +114,25 @@ def _search(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
             a.append(np.array(x, dtype=np.int64) + s)
             b.append(np.array(y, dtype=np.int64) + s)
     a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-    return pd.DataFrame({"a": raw[a], "b": raw[b]}).drop_duplicates()
+    which, name = pd.factorize(raw)
+    root = _roots(which[a], which[b], len(name))
+    linked = np.flatnonzero(root != np.arange(len(name)))
+    return pd.DataFrame({"a": name[linked], "b": name[root[linked]]})
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by links a - b: postings of a cell repeat each other's links, and
+    one link a fingerprint carries them all."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
