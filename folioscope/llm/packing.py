@@ -110,10 +110,11 @@ def _in_powers(out, sequence: int, filled: int):
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """doc_id, start, length, ids (unsigned little-endian 32-bit), ids_crc32, doc_tokens, sequence_id, offset of each piece."""
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard: int = SHARD, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (unsigned little-endian
+    32-bit) of each piece."""
     tokenizer = tokenizer or default_path()
-    names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches):
         base = TaskContext.get().partitionId() << 40
@@ -122,14 +123,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
             ids, lens = ids.astype("<u4"), np.diff(offsets)
             out = np.array(pack_shard(lens, Index(codes, word_offsets), window), dtype=np.int64).reshape(-1, 5)
             a = offsets[out[:, 0]] + out[:, 1]
-            part = [ids[i : i + n].tobytes() for i, n in zip(a, out[:, 2], strict=True)]
-            crc = [zlib.crc32(x) for x in part]
-            cols = [b.column(0).take(pa.array(out[:, 0])), *map(pa.array, (out[:, 1], out[:, 2])), pa.array(part, pa.binary()), pa.array(crc, pa.int64()), *map(pa.array, (lens[out[:, 0]], base + out[:, 3], out[:, 4]))]
+            spans = list(zip(a.tolist(), out[:, 2].tolist(), strict=True))
+            crc = [zlib.crc32(ids[i : i + n]) for i, n in spans]
+            cols = [b.column(0).take(pa.array(out[:, 0])), *map(pa.array, (out[:, 1], out[:, 2])), pa.array(crc, pa.int64()), *map(pa.array, (lens[out[:, 0]], base + out[:, 3], out[:, 4]))]
+            if with_ids:
+                cols.append(pa.array([ids[i : i + n].tobytes() for i, n in spans], pa.binary()))
             base += int(out[:, 3].max()) + 1
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids binary" * with_ids)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
