@@ -26,7 +26,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.drop_near_copies(docs, simhash_wide.groups, simhash_wide.fingerprint)
+    return simhash.drop_near_copies(docs, simhash_wide.exact_groups, simhash_wide.fingerprint)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

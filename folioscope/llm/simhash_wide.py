@@ -1,14 +1,21 @@
-"""SimHash near-duplicates by similarity: wide fingerprints of five-word shingles.
+"""Near-duplicates by similarity: shingle sets of five words with Jaccard similarity `SIMILARITY` or more.
 
-Four bits-by-majority words of 64 bits each stand for a text.  Two texts whose shingle sets have Jaccard similarity J
-differ in about acos(2J / (1 + J)) / pi of the bits, so similarity `SIMILARITY` becomes a bound on differing bits.  The
-byte-position inverted index posts each distinct fingerprint under two byte values at positions of one class (classes of
-3, 3 and 2 positions a word: 28 postings); entries of a posting are tallied for shared positional bytes, pairs with at
-least `SHARED` go on, and are verified by counting differing bits.  Texts of similarity 0.85 share a posting with
-probability above 0.95 (see the tests); the contract's exact operator at four bits is in simhash.py.
+Four bits-by-majority words of 64 bits each stand for a text's set of shingles.  Two sets of Jaccard similarity J differ in
+about acos(2J / (1 + J)) / pi of the bits.  Candidates come from two inverted indexes over distinct fingerprints:
+
+- Byte positions: two byte values at positions of one class (classes of 3, 3 and 2 positions a word: 28 postings); entries
+  of a posting are tallied for shared positional bytes, kept from `SHARED` on, at `most_bits` differing bits or fewer.  No
+  number of shared bytes is certain at that distance, so this index alone loses pairs.
+- Shingles, which lose none: of n shingles, the n - ceil(0.8 n) + 1 of smallest hash are posted; two sets that share no
+  posting have similarity below 0.8.  Entries of a posting go on at `filter_bits` differing bits or fewer, eight standard
+  deviations above what similarity 0.8 gives.
+
+Candidates form clusters.  Each cluster's shingle sets are compared exactly (64-bit hashes of shingles), and only pairs at
+the similarity link.  The contract's exact operator at four bits is in simhash.py.
 
 Postings are dealt in cells; a cell compares entries of short postings pairwise in one numpy pass and searches long ones
-breadth first, and gives a spanning forest, never all pairs of a group.
+breadth first, and gives a spanning forest, never all pairs of a group.  A cluster of more than `TILE` sets is cut into
+tiles, and each two tiles are compared in a task of their own.
 
 Defined results: as in simhash.py; texts without words are copies of each other; texts of fewer words than a shingle are
 one shingle.
@@ -28,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .simhash import BROADCAST_IDS
 from .subwords import mix64
 
 WIDTH = 5
@@ -37,55 +45,78 @@ SHARED = 4
 #: Entries of a cell, about.
 CELL = 200_000
 SHORT = 48
+#: Sets of a cluster that one task compares; larger clusters are cut.
+TILE = 4096
 CLASSES = ((0, 1, 2), (3, 4, 5), (6, 7))
 PAIRS = [(8 * w + a, 8 * w + b) for w in range(WORDS) for c in CLASSES for a, b in combinations(c, 2)]
 _SALT = np.array([0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(WORDS)], dtype=np.uint64)
 
 
-def most_bits(similarity: float = SIMILARITY) -> int:
-    """Differing bits that texts of a similarity have on average, and one standard deviation."""
+def most_bits(similarity: float = SIMILARITY, deviations: float = 0.5) -> int:
+    """Differing bits that texts of a similarity have on average, and so many standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * WORDS
-    return round(n * p + math.sqrt(n * p * (1 - p)) * 0.5)
+    return round(n * p + math.sqrt(n * p * (1 - p)) * deviations)
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> bytes:
+def filter_bits(similarity: float = SIMILARITY) -> int:
+    """Differing bits that no two texts of a similarity are expected to pass."""
+    return most_bits(similarity, 8)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of a text's distinct shingles, ascending."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * WORDS)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(len(words) - width + 1, 1)
     stops = ends[-n:].tolist() if len(words) >= width else [len(joined)]
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], 7) for a, b in zip(starts, stops, strict=True)]), dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> bytes:
+    """The fingerprint of a set of shingles."""
     counts = np.zeros(64 * WORDS, dtype=np.int64)
-    for at in range(0, n, 1 << 15):
-        part = b"".join([digest(joined[a:b], 7) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)], strict=True)])
-        h = np.frombuffer(part, dtype=np.uint64)
-        wide = mix64(h[:, None] * np.uint64(0xD6E8FEB86659FD93) + _SALT[None, :])
+    for at in range(0, len(h), 1 << 15):
+        wide = mix64(h[at : at + (1 << 15), None] * np.uint64(0xD6E8FEB86659FD93) + _SALT[None, :])
         counts += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n).tobytes()
+    return np.packbits(counts * 2 > len(h)).tobytes()
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> bytes:
+    return majority(shingles(text, width))
+
+
+def prefix(h: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The shingles to post: a set at the similarity or above shares one of them."""
+    n = len(h)
+    return h[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+def _near(a: np.ndarray, b: np.ndarray, bits: int, least: int) -> np.ndarray:
     """Count filter on shared positional bytes, then differing bits.  a, b: rows of WORDS unsigned longs."""
     differ = a ^ b
+    if not least:
+        return np.bitwise_count(differ).sum(axis=1) <= bits
     shared = (np.ascontiguousarray(differ).view(np.uint8).reshape(len(differ), -1) == 0).sum(axis=1)
-    out = shared >= SHARED
+    out = shared >= least
     some = np.flatnonzero(out)
     out[some] = np.bitwise_count(differ[some]).sum(axis=1) <= bits
     return out
 
 
-def _forest(v: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+def _forest(v: np.ndarray, bits: int, least: int) -> tuple[list[int], list[int]]:
     """Spanning forest of row numbers; each row is compared with those not yet reached only."""
     left, a, b = np.arange(len(v)), [], []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = _near(v[left], np.broadcast_to(v[x], (len(left), WORDS)), bits)
+            hit = _near(v[left], np.broadcast_to(v[x], (len(left), WORDS)), bits, least)
             found = left[hit].tolist()
             a += [x] * len(found)
             b += found
@@ -94,7 +125,7 @@ def _forest(v: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _search(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+def _search(pdf: pd.DataFrame, bits: int, least: int) -> pd.DataFrame:
     pdf = pdf.sort_values("key", kind="stable")
     key = pdf["key"].to_numpy()
     raw = pdf["fp"].to_numpy()
@@ -105,12 +136,12 @@ def _search(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     longest = int(size[size <= SHORT].max(initial=1))
     for k in range(1, longest):
         i = np.flatnonzero((key[k:] == key[:-k]) & (size[k:] <= SHORT))
-        i = i[_near(v[i], v[i + k], bits)] if len(i) else i
+        i = i[_near(v[i], v[i + k], bits, least)] if len(i) else i
         a.append(i)
         b.append(i + k)
     for s, e in zip(starts[:-1], starts[1:], strict=True):
         if e - s > SHORT:
-            x, y = _forest(v[s:e], bits)
+            x, y = _forest(v[s:e], bits, least)
             a.append(np.array(x, dtype=np.int64) + s)
             b.append(np.array(y, dtype=np.int64) + s)
     a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
@@ -135,12 +166,65 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp, component_id of each row."""
+def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Spanning forest of the sets at a Jaccard similarity or above, breadth first."""
+    size = np.array([len(x) for x in sets])
+    left = np.ones(len(sets), dtype=bool)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    doc, of, a, b = np.repeat(np.arange(len(sets)), size), code, [], []
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue and left.any():
+            x = queue.pop()
+            mine = np.zeros(len(values), dtype=bool)
+            mine[code[at[x] : at[x + 1]]] = True
+            both = np.bincount(doc[mine[of]], minlength=len(sets))
+            found = np.flatnonzero(left & (both * (1 + similarity) >= similarity * (size[x] + size) - 1e-9)).tolist()
+            if found:
+                a += [x] * len(found)
+                b += found
+                queue += found
+                left[found] = False
+                stay = left[doc]
+                doc, of = doc[stay], of[stay]
+    return a, b
 
-    def prints(batches):
+
+def _verify(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links of the clusters, or two tiles of one, in a cell."""
+    a, b = [], []
+    for _, rows in pdf.groupby(["cluster", "i", "j"], sort=False):
+        name = rows["fp"].tolist()
+        x, y = _similar([np.frombuffer(r, dtype=np.uint64) for r in rows["shingles"]], similarity)
+        a += [name[k] for k in x]
+        b += [name[k] for k in y]
+    return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
+    """fp, cluster, shingles of the fingerprints in clusters, from one row of each."""
+
+    def run(batches):
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([fingerprint(t.as_py(), width) for t in x.column(1)], pa.binary())], ["doc_id", "fp"])
+            for t in x.column(0):
+                h = shingles(t.as_py(), width)
+                yield pa.RecordBatch.from_arrays([pa.array([majority(h)], pa.binary()), pa.array([h.tobytes()], pa.binary())], ["own", "shingles"])
+
+    ids = materialize(nodes.join(clusters, "fp").select(F.col("first").alias("some_id")).distinct(), "wide-ids")
+    rows = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["some_id"]), "left_semi")
+    sets = rows.select("text").mapInArrow(run, "own binary, shingles binary")
+    return clusters.join(sets, F.col("fp") == F.col("own")).groupBy("fp", "cluster").agg(F.first("shingles").alias("shingles"))
+
+
+def _search_cells(entries: DataFrame, n: int, bits: int, least: int) -> DataFrame:
+    cells = max(1, math.ceil(n / CELL))
+    return entries.groupBy(F.pmod(F.xxhash64("key"), F.lit(cells)).alias("cell")).applyInPandas(lambda pdf: _search(pdf, bits, least), "a binary, b binary")
+
+
+def estimated_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links by differing bits between fingerprints that meet in the byte-position index."""
 
     def post(batches):
         for x in batches:
@@ -151,12 +235,43 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH)
             for s in range(0, len(at), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[s : s + (1 << 17)]), fp.take(pa.array(at[s : s + (1 << 17)]))], ["key", "fp"])
 
-    bits = most_bits(similarity)
-    fps = materialize(docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary"), "wide-fp")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "wide-nodes")
-    cells = max(1, math.ceil(nodes.count() * len(PAIRS) / CELL))
     entries = nodes.select("fp").mapInArrow(post, "key int, fp binary")
-    found = entries.groupBy(F.pmod(F.xxhash64("key"), F.lit(cells)).alias("cell")).applyInPandas(lambda pdf: _search(pdf, bits), "a binary, b binary")
+    return _search_cells(entries, nodes.count() * len(PAIRS), most_bits(similarity), SHARED)
+
+
+def exact_links(docs: DataFrame, fps: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """a, b: links between distinct fingerprints that join what all pairs at the Jaccard similarity join."""
+    posted = fps.select("id", F.explode("low").alias("key"))
+    shared = posted.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select(F.col("key").alias("k"))
+    entries = posted.join(shared, F.col("key") == F.col("k")).select("id", "key").distinct()
+    entries = materialize(entries.join(nodes.select("id", "fp"), "id").select("key", "fp"), "wide-shared")
+    by_shingles = _search_cells(entries, entries.count(), filter_bits(similarity), 0)
+    near = components(estimated_links(nodes, similarity).union(by_shingles))
+    clusters = materialize(near.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "wide-clusters")
+    sets = materialize(_sets(docs, nodes, clusters, width), "wide-sets")
+    tiles = sets.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).withColumnRenamed("cluster", "c")
+    own = sets.join(tiles, F.col("cluster") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    spread = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("cluster", "fp", "shingles", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"))
+    cells = max(1, math.ceil(sets.count() / TILE))
+    spread = spread.withColumn("cell", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(cells)))
+    return spread.groupBy("cell").applyInPandas(lambda pdf: _verify(pdf, similarity), "a binary, b binary")
+
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, exact: bool = False) -> DataFrame:
+    """doc_id, fp, component_id of each row, by differing bits or, if exact, by the Jaccard similarity."""
+
+    def prints(batches):
+        for x in batches:
+            sets = [shingles(t.as_py(), width) for t in x.column(1)]
+            fp = [majority(h) for h in sets]
+            number = pa.array([xxhash.xxh64_intdigest(f) for f in fp], pa.uint64())
+            low = pa.array([prefix(h, similarity).view(np.int64) if exact else None for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fp, pa.binary()), pa.array(np.asarray(number).view(np.int64)), low], ["doc_id", "fp", "id", "low"])
+
+    fps = materialize(docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary, id long, low array<long>"), "wide-fp")
+    nodes = materialize(fps.groupBy("fp", "id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "wide-nodes")
+    found = exact_links(docs, fps, nodes, similarity, width) if exact else estimated_links(nodes, similarity)
     comp = components(found).select(F.col("node").alias("fp"), "component")
     roots = nodes.join(comp, "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"), F.col("component").isNotNull().alias("linked"))
     known = materialize(roots.where("linked or n > 1"), "wide-known")
@@ -164,3 +279,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH)
     named = known.join(least, "root").select(F.col("fp").alias("known_fp"), "component_id")
     out = fps.join(named, F.col("fp") == F.col("known_fp"), "left")
     return out.select("doc_id", "fp", F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    return groups(docs, exact=True)

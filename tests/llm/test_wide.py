@@ -50,3 +50,27 @@ def test_groups_join_what_all_links_join(spark, odd_docs, no_docs, monkeypatch,
     assert S.groups(no_docs).count() == 0
     kept = simhash.drop_near_copies(odd_docs.where("doc_id is null or doc_id <> 104"), S.groups, S.fingerprint)
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id = 100").count() == 0
+
+
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_exact_groups_join_all_pairs_at_the_similarity(spark, no_docs, monkeypatch, tile):
+    """Against true Jaccard similarity of all pairs: pairs just above 0.8 link, pairs just below do not."""
+    monkeypatch.setattr(S, "TILE", tile)
+    texts, above = [], 0
+    for k in range(150):
+        a = prose(7000 + k, 100 + 3 * k)
+        texts += [(2 * k, a), (2 * k + 1, edited(a, 0.012 + 0.012 * (k % 3), k))]
+    base = prose(5, 200)
+    texts += [(1000 + i, edited(base, 0.01, i)) for i in range(70)] + [(2000, base), (2001, prose(5, 150)), (2002, None), (2003, " "), (2004, "a b c"), (2005, "A b  c")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.exact_groups(docs).collect()}
+    sets = {i: shingles(t.lower()) or {tuple(t.lower().split())} if t else {()} for i, t in texts}
+    ids, pairs = sorted(sets), []
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                pairs.append((a, b))
+                above += both < 0.83 * len(sets[a] | sets[b])
+    assert above > 20 and got == labels_of(ids, pairs)
+    assert S.exact_groups(no_docs).count() == 0
