@@ -146,7 +146,7 @@ def _through_neighbours(fps: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id of each row."""
+    """doc_id, fp, component_id and root (the fingerprint that names the group) of each row."""
     fps = materialize(fingerprints(docs, width), "simhash-fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     comp = components(links(nodes.select("fp"), max_bits))
@@ -155,14 +155,16 @@ def groups(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> D
     # a root's smallest document; only what is linked or repeated can differ from its own
     known = materialize(roots.where("linked or n > 1"), "simhash-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select(F.col("fp").alias("known_fp"), "component_id")
+    named = known.join(least, "root").select(F.col("fp").alias("known_fp"), "component_id", "root")
     out = fps.join(named, F.col("fp") == F.col("known_fp"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "fp", component, F.coalesce("root", "fp").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, and one of its rows if it is repeated.  index gives
-    (doc_id, fp, component_id) and mark the fp of one text; by default those of the 64-bit index."""
+    """docs with one row of each group: that of the smallest doc_id, and one of its rows if it is repeated in the group; rows
+    of one id in several groups are judged in each.  index gives (doc_id, fp, component_id, root) and mark the fp of one
+    text; by default those of the 64-bit index."""
     index = index or groups
     mark = mark or (lambda t: int.from_bytes(fingerprint(t), "big", signed=True))
     found = materialize(index(docs), "simhash-groups")
@@ -174,6 +176,7 @@ def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
         # the rows of a repeated id may hold different texts: of these few, each row is looked at again
         rows = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
         at, fp_name = docs.columns.index("text"), "fp_" + "_".join(docs.columns)
+        keep_id, keep_fp, keep_root = (f"{k}_{fp_name}" for k in ("id", "keep", "root"))
 
         def run(batches):
             for x in batches:
@@ -181,9 +184,9 @@ def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*x.columns, fp], [*x.schema.names, fp_name])
 
         marked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(fp_name, kind)]))
-        keep = found.where(first).select(F.col("doc_id").alias("keep_id"), F.col("fp").alias("keep_fp")).distinct()
-        hit = marked["doc_id"].eqNullSafe(keep["keep_id"]) & (marked[fp_name] == keep["keep_fp"])
-        out = out.unionByName(marked.join(keep, hit, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+        keep = found.where(first).select(F.col("doc_id").alias(keep_id), F.col("fp").alias(keep_fp), F.col("root").alias(keep_root)).distinct()
+        hit = marked["doc_id"].eqNullSafe(keep[keep_id]) & (marked[fp_name] == keep[keep_fp])
+        out = out.unionByName(marked.join(keep, hit).dropDuplicates(["doc_id", keep_root]).select(*docs.columns))
     return out
 
 

@@ -259,7 +259,7 @@ def exact_links(docs: DataFrame, fps: DataFrame, nodes: DataFrame, similarity: f
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, exact: bool = False) -> DataFrame:
-    """doc_id, fp, component_id of each row, by differing bits or, if exact, by the Jaccard similarity."""
+    """doc_id, fp, component_id and root (the fingerprint that names the group) of each row, by differing bits or, if exact, by the Jaccard similarity."""
 
     def prints(batches):
         for x in batches:
@@ -276,9 +276,10 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     roots = nodes.join(comp, "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"), F.col("component").isNotNull().alias("linked"))
     known = materialize(roots.where("linked or n > 1"), "wide-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select(F.col("fp").alias("known_fp"), "component_id")
+    named = known.join(least, "root").select(F.col("fp").alias("known_fp"), "component_id", "root")
     out = fps.join(named, F.col("fp") == F.col("known_fp"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "fp", component, F.coalesce("root", "fp").alias("root"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -279,3 +279,18 @@ def test_simhash(spark, odd_docs, no_docs):
     assert simhash.groups(no_docs).count() == 0
     kept = simhash.drop_near_copies(small)
     assert kept.columns == small.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, {c for _, _, c in want if c is not None} | {d for d, _, c in want if c is None}))
+
+
+@pytest.mark.parametrize("index", ["narrow", "wide"])
+def test_rows_of_one_id_with_different_texts_all_stay(spark, index):
+    """Rows that share an id, or have none, are copies only if their texts are; of linked ones a single row stays."""
+    from folioscope.llm import simhash_wide
+
+    from .conftest import prose
+
+    a, b, c, d, e, f = (prose(9000 + k, 60) for k in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, e), (8, f), (9, f), (None, f), (9, prose(9100, 60)), (3, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.drop_near_copies(docs) if index == "narrow" else simhash.drop_near_copies(docs, simhash_wide.exact_groups, simhash_wide.fingerprint)
+    want = [(None, a), (None, b), (None, c), (7, d), (7, e), (8, f), (9, prose(9100, 60)), (3, None)]
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(want)
