@@ -40,6 +40,11 @@ WORD_ODDS = (
 WORD_ODDS = dict(WORD_ODDS)
 ROLE_ODDS = {"navigation": -30, "banner": -30, "contentinfo": -30, "complementary": -30, "search": -30, "form": -30, "alert": -30, "dialog": -30, "alertdialog": -30, "menu": -30, "menubar": -30, "main": 6, "article": 8}
 BLOCK_ODDS = {"p": 2.0, "h1": 2.0, "h2": 1.0, "h3": 1.0, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "td": -0.3, "dd": 0.0}
+#: Elements whose class and id say nothing of what is in them, and first words of names that tell what else a page has.
+UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
+OTHERS = frozenset("no not has have with without hide hides".split())
+#: Names inside an article lower the odds to this at most, which long prose outweighs.
+NAMED_INSIDE = -1.5
 BASE_ODDS, LENGTH_ODDS, LINK_ODDS, SENTENCE_ODDS = -2.0, 0.6, -7.0, 1.0
 ADJACENT, SAME_PARENT, COUSIN = 0.6, 1.2, 0.5
 
@@ -49,20 +54,30 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ENDS = re.compile(r"[.!?…。](?:[\"'»”)\]]|\s|$)")
 
 
-def _element_odds(tag: str, attrs: str) -> float:
-    """What an open element says of all text in it."""
-    odds = float(TAG_ODDS.get(tag, 0))
+def _name_odds(value: str) -> float:
+    """What class or id names say; `no-sidebar` and the like do not count against."""
+    odds = {}
+    for name in value.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        other = len(words) > 1 and words[0] in OTHERS
+        odds |= {w: x for w in words if (x := WORD_ODDS.get(w, 0.0)) > 0 or not other}
+    return sum(odds.values())
+
+
+def _element_odds(tag: str, attrs: str) -> tuple[float, float]:
+    """What an open element says of all text in it: by its names, and by all else."""
+    named, odds = 0.0, float(TAG_ODDS.get(tag, 0))
     if not attrs or attrs.isspace():
-        return odds
+        return named, odds
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "itemprop", "data-role"):
-            odds += sum(WORD_ODDS.get(w.lower(), 0.0) for w in set(_NAME.findall(value)))
+            named += 0.0 if tag in UNNAMED and name in ("class", "id") else _name_odds(value)
         elif name == "role":
             odds += ROLE_ODDS.get(value.strip().lower(), 0)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             odds -= 60
-    return odds
+    return named, odds
 
 
 class Block:
@@ -130,11 +145,15 @@ def blocks(html: str) -> list[Block]:
                 pop_to(k)
         number += 1
         around = stack[-1][1]
-        odds = _element_odds(tag, m["attrs"])
-        if tag == "header" and any(e[0] in ("article", "main") for e in stack):
+        named, odds = _element_odds(tag, m["attrs"])
+        inside = tag in ("article", "main") or any(e[0] in ("article", "main") for e in stack)
+        if tag == "header" and inside:
             odds -= TAG_ODDS["header"]  # the heading of an article belongs to it
+        total = around + odds + named
+        if inside and named < 0 and around + odds > -20:
+            total = max(total, min(around + odds, NAMED_INSIDE))
         # a part of the page that is set aside stays so whatever is in it
-        stack.append((tag, around + odds if around > -20 else min(around, around + odds), number))
+        stack.append((tag, total if around > -20 else min(around, total), number))
     flush()
     return out
 

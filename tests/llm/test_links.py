@@ -166,3 +166,18 @@ def test_extraction(spark):
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and got[3].n_chars == 16 * 30_000 - 1
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_html_names_do_not_silence_an_article():
+    prose = "The river rose in the night and the town moved its boats to the upper meadow, where they stayed until spring. " * 3
+    for name in ("single no-sidebar", "has-sidebar", "search-results", "comments-open"):
+        for at in (f'<html class="{name}"><body>', f'<body id="x" class="{name}">', f'<body><div class="{name if "sidebar" in name else "page"}">'):
+            assert html_extract.main_text(f"{at}<p>{prose}</p><p>{prose}</p>").count("upper meadow") == 6, at
+    for at in ('<section id="discussion">', '<div id="search-methods">'):
+        page = f'<article><h1>Floods</h1><p>{prose}</p>{at}<h2 id="related-work">Earlier floods</h2><p>{prose}</p><p>{prose}</p></section></div></article>'
+        text = html_extract.main_text(page)
+        assert text.count("upper meadow") == 9 and "Earlier floods" in text
+    assert "Earlier floods" in html_extract.main_text(f'<article><p>{prose}</p><h2 id="related-work">Earlier floods</h2><p>{prose}</p></article>')
+    links = "".join(f'<li><a href="/{k}">Story {k}</a></li>' for k in range(5))
+    page = f'<article><p>{prose}</p><div class="related">{links}</div><div class="comments"><p>Great post!</p></div></article><div class="sidebar"><p>{prose.upper()}</p></div>'
+    assert html_extract.main_text(page) == prose.strip()
