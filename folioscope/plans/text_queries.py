@@ -356,13 +356,16 @@ SELECT doc_id, item_id, round(CASE WHEN len(mine) >= 10 AND len(theirs) > 0 THEN
 """
 
 
-def error_rates(spark, d):
-    """Character and word error of short turns against themselves with one letter and one word changed."""
-    t = turns(spark, d).where(F.length("text").between(20, 400))
+def _errors(t):
     changed = F.concat(F.regexp_replace("text", "e", "3"), F.when(F.col("page_no") % 2 == 0, " extra word").otherwise(""))
     return t.select("doc_id", "page_no", R6(T.character_error_rate(F.col("text"), changed)).alias("cer"), R6(T.word_error_rate(F.col("text"), changed)).alias("wer"))
 
 
+def error_rates(spark, d):
+    """Character and word error of turns against themselves with one letter and one word changed."""
+    return _errors(turns(spark, d))
+
+
 CER_ONLY_SQL = f"""
 WITH {TURNS}, c AS (SELECT doc_id, page_no, text, replace(text, 'e', '3') || CASE WHEN page_no % 2 = 0 THEN ' extra word' ELSE '' END AS hyp FROM turns WHERE len(text) BETWEEN 20 AND 400),
 n AS (SELECT doc_id, page_no, trim({_norm_sql('text')}, ' ') AS r, trim({_norm_sql('hyp')}, ' ') AS h FROM c)
@@ -371,13 +374,15 @@ SELECT doc_id, page_no, round(levenshtein(r, h) / len(r), 6) AS cer FROM n WHERE
 
 
 def character_error(spark, d):
-    return error_rates(spark, d).select("doc_id", "page_no", "cer").where("cer is not null")
+    """The turns that its SQL selects; error_rates has the character error of every turn."""
+    return _errors(turns(spark, d).where(F.length("text").between(20, 400))).select("doc_id", "page_no", "cer").where("cer is not null")
 
 
 def html_similarity(spark, d):
+    """Each page's whole text against itself with one letter changed."""
     p = spark.read.parquet(f"{d}/pages.parquet")
     plain = T.normalize(T.strip_html(F.col("html")))
-    return p.where(F.length("html") < 4000).select("page_id", R6(M.sequence_similarity(plain, T.normalize(T.strip_html(F.substring("html", 1, 2000))))).alias("ratio"))
+    return p.select("page_id", R6(M.sequence_similarity(plain, F.regexp_replace(plain, "e", "3"))).alias("ratio"))
 
 
 def language_mode(spark, d):

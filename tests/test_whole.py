@@ -1,5 +1,6 @@
 """Queries without SQL over whole tables, against brute force."""
 
+import difflib
 import re
 
 
@@ -18,3 +19,37 @@ def test_word_recall_of_every_document_and_item(spark, tmp_path):
 
     want = sorted(((i, k, recall(t, x)) for i, x in docs for k, t in items), key=str)
     assert sorted(map(tuple, Q.word_recall_all(spark, str(tmp_path)).collect()), key=str) == want
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_error_rates_of_every_turn(spark, tmp_path):
+    from folioscope.plans import text_queries as Q
+
+    turns = [("a", 0, "yes"), ("a", 1, "the end"), ("b", 0, "a sentence of some length here " * 30), ("b", 1, "see the tree by the lake " * 30), ("c", 0, None), ("c", 1, "")]
+    spark.createDataFrame([(*t[:2], "user", t[2]) for t in turns], "conv_id string, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for i, k, t in turns:
+        ref = " ".join((t or "").split())
+        hyp = " ".join(((t or "").replace("e", "3") + (" extra word" if k % 2 else "")).split())
+        want[i, k + 1] = (round(levenshtein(ref, hyp) / len(ref), 6), round(levenshtein(ref.split(), hyp.split()) / len(ref.split()), 6)) if ref else (None, None)
+    assert {(r.doc_id, r.page_no): (r.cer, r.wer) for r in Q.error_rates(spark, str(tmp_path)).collect()} == want
+
+
+def test_html_similarity_of_whole_pages(spark, tmp_path):
+    from folioscope.plans import text_queries as Q
+
+    pages = [(1, "<p>the tree</p>"), (2, "<p>" + "word see " * 900 + "</p><b>tail zq</b>"), (3, None), (4, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = {}
+    for i, h in pages:
+        t = " ".join(re.sub("<[^>]+>", " ", h or "").split())
+        want[i] = round(difflib.SequenceMatcher(None, t, t.replace("e", "3")).ratio(), 6) if t else None
+    assert {r.page_id: r.ratio for r in Q.html_similarity(spark, str(tmp_path)).collect()} == want
