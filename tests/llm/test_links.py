@@ -151,6 +151,64 @@ def test_minimum_cut_is_minimal():
         assert abs(cost(html_extract.minimum_cut(odds, edges)) - min(map(cost, itertools.product([0, 1], repeat=n)))) < 1e-9
 
 
+def _energy(cost, edges, side):
+    return sum(max(o, 0) if not x else max(-o, 0) for o, x in zip(cost, side)) + sum(w for a, b, w in edges if side[a] != side[b])
+
+
+def test_whole_pages_are_cut_at_least_cost():
+    """Brute force over all labellings of the blocks of whole pages."""
+    r = random.Random(5)
+    parts = ["<h1>Floods</h1>", "<p>Sh is.</p>", "<p>The river rose in the night, and the town moved its boats.</p>", "<div class=ad>Buy now! It is cheap.</div>", "<ul><li><a href=x>Home</a><li>one thing</ul>", "<aside><h3>More</h3><p>Read on.</p></aside>", "<h2>News</h2>", "<td>x</td>", "<div><div>plain words here</div></div>"]
+    changed = 0
+    for _ in range(60):
+        page = "".join(r.choice(parts) for _ in range(r.randint(2, 8)))
+        found = html_extract.blocks(f"<article>{page}</article>" if r.random() < 0.5 else page)[:11]
+        cost, edges = html_extract.costs(found), html_extract.smoothness(found)
+        side = html_extract.minimum_cut(cost, edges)
+        best = min(_energy(cost, edges, x) for x in itertools.product([0, 1], repeat=len(found)))
+        assert abs(_energy(cost, edges, side) - best) < 1e-9
+        changed += sum((c > 0) != k for c, k in zip(cost, side))
+    assert changed > 20
+
+
+def test_the_flow_decides_on_real_pages(monkeypatch):
+    import pyarrow.parquet as pq
+
+    flow, calls = html_extract._flow, []
+    monkeypatch.setattr(html_extract, "_flow", lambda *a: calls.append(1) or flow(*a))
+    pages, cut, blocks, changed = 0, 0, 0, 0
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        before = len(calls)
+        found = html_extract.blocks(html)
+        cost = html_extract.costs(found)
+        side = html_extract.minimum_cut(cost, html_extract.smoothness(found))
+        text = " ".join(b.text for b, k in zip(found, side) if k)
+        article = html_extract.blocks(html[html.index("<article>") : html.index("</article>")])
+        assert text == " ".join(b.text for b in article)
+        pages, cut, blocks, changed = pages + 1, cut + (len(calls) > before), blocks + len(found), changed + sum((c > 0) != k for c, k in zip(cost, side))
+    assert cut > 0.5 * pages and changed > 0.02 * blocks
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        t = time.time()
+        html_extract.main_text("<div><b>" * n + "<p>words in it.</p></i></x>" * 100 + "<li></li><p></p>" * n)
+        took.append(time.time() - t)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_parts_inside_an_article():
+    prose = "The river rose in the night and the town moved its boats to the upper meadow, where they stayed until spring. " * 3
+    item = "".join(f"<li>thing {k}</li>" for k in range(8))
+    page = f'<article><h1>Floods</h1><p>{prose}</p><p class="notice">{prose.upper()}</p><p>{prose}</p><ul>{item}</ul><div class="ad">{prose.upper()}</div><p>{prose}</p><section class="comments"><h2>Comments</h2><div class="comment"><p>{prose.upper()}</p><p>Yes.</p></div></section></article>'
+    text = html_extract.main_text(page)
+    assert "BOATS" not in text and "Comments" not in text and "Yes." not in text
+    assert text.startswith("Floods The river") and "thing 0 thing 1" in text and text.count("upper meadow") == 9
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header>
 <div id="cookie-notice">We use cookies. Accept them now, dear reader.</div><nav><ul><li><a href=x>Home</a></ul></nav><div class="sidebar"><p>Popular posts, and more.</p></div>
 <main><article><h1>Title &eacute;</h1><p>First   text, <a href=x>a <b>link</b></a>.<div class=ad>Buy now! It is cheap.</div><p>Second<br>line &amp; more.<ul><li>one<li>two</ul></article>
