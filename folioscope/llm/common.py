@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where the session names none (tests)."""
+    """The shared folder of the cluster.  Only a session in one process may name none: it gets a folder of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_scratch:
         _own_scratch.append("file://" + tempfile.mkdtemp(prefix="folioscope-"))
     return _own_scratch[0]
@@ -50,6 +52,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, on: str, at: str, n: str, least: int, most: int = 50_000) -> DataFrame:
+    """rows joined with counted (a scratch table of one row a key `at`, with the number `n` of its rows) where on = at.  Keys
+    of `least` rows or more, and of more than a `most`th of all (so `most` of them at most), are joined by broadcast: no
+    task gathers the rows of a frequent key.  The others are joined by shuffle."""
+    many = max(least, (counted.agg(F.sum(n)).first()[0] or 0) // most)
+    hot, cold = counted.where(F.col(n) >= many), counted.where(F.col(n) < many)
+    if not hot.head(1):
+        return rows.join(cold, F.col(on) == F.col(at))
+    few = F.broadcast(hot)
+    rest = rows.join(few.select(at), F.col(on) == F.col(at), "left_anti")
+    return rest.join(cold, F.col(on) == F.col(at)).unionByName(rows.join(few, F.col(on) == F.col(at)))
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

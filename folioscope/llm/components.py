@@ -1,7 +1,8 @@
 """Connected components of a graph given as a table of links, by alternating large and small stars.
 
-Each round joins links with the smallest neighbour of a node, so no neighbourhood is ever gathered in one row or task
-beyond what a shuffle join splits; rounds grow with the logarithm of a component's size.
+Each round joins links with the smallest neighbour of a node; rounds grow with the logarithm of a component's size.  The
+smallest neighbour is a partial aggregate.  Nodes of `HOT` links or more are joined by broadcast of a bounded number of rows
+(see `join_counted`), so no task gathers a star; the rest by shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_counted, materialize
+
+HOT = 256
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,11 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     state = None
     while True:
-        large = _star(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), small=False)
-        then = materialize(_star(large, small=True), "cc")
-        now = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges)
-        edges = then
+        large = _star(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), small=False)
+        small = _star(large, small=True)
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(edges, large)
+        edges = small
         if now == state:
             break
         state = now
@@ -34,10 +37,12 @@ def components(links: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Links from each neighbour to the smallest of a node and its neighbours.  Large: neighbours above the node, of
     links in both directions; small: links from a node to lower ones, and from the node itself."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    joined = edges.join(least, F.col("u") == F.col("w"))
+    least = materialize(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "w"), "cc-least")
+    joined = join_counted(edges, least, "u", "w", "n", HOT)
     if small:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
     else:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    out = materialize(out.where("u <> v").distinct(), "cc")
+    discard(least)
+    return out

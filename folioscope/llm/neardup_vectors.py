@@ -4,22 +4,26 @@ Filter directions are a product code: after a fixed random rotation a direction
 vectors for each half, so B * B directions need 2 * B inner products, and list decoding finds all directions that a
 vector exceeds (inner product at least `alpha`) without visiting the others: halves are pruned by the best of the other
 half first.  Vectors of one label are joined on the filters they share and verified by cosine in double precision.  B
-follows the number of vectors, so that a filter holds few unrelated ones, and alpha follows B, so that a vector passes
-about `FILTERS` filters; two vectors at cosine 0.98 then share one with probability above 0.99 (measured in the tests).
+grows with the square root of the number of vectors, without a cap, so that a filter holds few unrelated ones; alpha
+follows B, so that a vector passes about `FILTERS` filters, and is lowered for a vector that would pass fewer than
+`LEAST`.  Two vectors at cosine 0.98 then share one with probability above 0.999 at every B (measured in the tests).
 
-Exact copies are one class and are never expanded.  A filter with more than `TILE` classes is cut into tiles, all pairs
-of which are compared in tasks of their own.  A pair that shares several filters is counted at the smallest only; what a
-filter emits is a sum of links a class and a spanning forest, so its output is linear in its classes.
+Exact copies are one class and are never expanded; a class has a number of its own, whatever ids its vectors carry.  A
+filter with more than `TILE` classes is cut into tiles, all pairs of which are compared in tasks of their own.  A pair
+that shares several filters is counted at the smallest only; what a filter emits is a sum of links a class and a spanning
+forest, so its output is linear in its classes.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have no label link with
-nothing; vectors of different length never link; rows of one vec_id are vectors of their own with that id; an empty
-table gives an empty result.  Only vec_id, embedding and label are read.
+nothing; vectors of different length never link; rows of one vec_id are vectors of their own with that id, each linked by
+its own vector; a row without vec_id links like any other, and a component's id is null only if none of its rows has one;
+an empty table gives an empty result.  Only vec_id, embedding and label are read.
 """
 
 from __future__ import annotations
 
 import math
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -31,8 +35,9 @@ from .common import materialize, table
 from .components import components
 
 COSINE = 0.98
-FILTERS = 96
-TILE = 1024
+FILTERS = 48
+LEAST = 24
+TILE = 2048
 #: Below so many dimensions the code has fewer, wider caps.
 SMALL = 8
 #: Classes that one task compares at a time, counted once for each filter they pass.
@@ -56,12 +61,15 @@ def code(dim: int, base: int) -> tuple[np.ndarray, list[np.ndarray], float]:
     for c in cuts:
         w = rng.normal(size=(base, max(c, 1)))[:, :c]
         words.append(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / math.sqrt(2))
-    x = rng.normal(size=(400, dim))
+    x = rng.normal(size=(64, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = x[:, : cuts[0]] @ words[0].T, x[:, cuts[0] :] @ words[1].T
-    many = min(base, 256)
-    sums = a[:, :many, None] + b[:, None, :many]
-    alpha = float(np.quantile(sums, max(0.0, 1 - FILTERS / base**2)))
+    # filters passed at an alpha, counted from the best codewords of each half of some random vectors
+    halves = [-np.sort(-y @ w.T, axis=1)[:, :4096] for y, w in zip((x[:, : cuts[0]], x[:, cuts[0] :]), words, strict=True)]
+    low, high = 0.0, 2.0
+    for _ in range(30):
+        alpha = (low + high) / 2
+        passed = np.mean([(len(b) - np.searchsorted(b[::-1], alpha - a)).sum() for a, b in zip(*halves, strict=True)])
+        low, high = (alpha, high) if passed > FILTERS else (low, alpha)
     if dim < SMALL:  # few directions differ in few dimensions; caps so wide that every vector is well inside one
         words = [np.unique(w.round(9), axis=0)[: 4 ** w.shape[1]] if w.shape[1] else w[:1] for w in words]
         best = (x[:, : cuts[0]] @ words[0].T).max(axis=1) + (x[:, cuts[0] :] @ words[1].T).max(axis=1)
@@ -75,10 +83,16 @@ def decode(vectors: np.ndarray, base: int) -> list[np.ndarray]:
     turned = vectors @ rotation
     cut = words[0].shape[1]
     left, right = turned[:, :cut] @ words[0].T, turned[:, cut:] @ words[1].T
+    least = min(LEAST, left.shape[1] * right.shape[1]) if vectors.shape[1] >= SMALL else 0
     out = []
     for a, b in zip(left, right, strict=True):
-        i, j = np.flatnonzero(a >= alpha - b.max()), np.flatnonzero(b >= alpha - a.max())
-        p, q = np.nonzero(a[i][:, None] + b[j] >= alpha)
+        at = alpha
+        while True:
+            i, j = np.flatnonzero(a >= at - b.max()), np.flatnonzero(b >= at - a.max())
+            p, q = np.nonzero(a[i][:, None] + b[j] >= at)
+            if len(p) >= least:
+                break
+            at -= 0.01
         out.append(i[p] * base + j[q])
     return out
 
@@ -90,24 +104,40 @@ def _keys(filters: np.ndarray, label: int, dim: int) -> np.ndarray:
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so that no square overflows or vanishes."""
-    x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
+    x = np.frombuffer(b"".join(raw), dtype=kind).astype(np.float64).reshape(len(raw), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def classes(vectors: DataFrame) -> DataFrame:
-    """rep (smallest vec_id), label, raw (components as doubles), n copies of each distinct labelled vector."""
-    kind = dict(vectors.dtypes)["vec_id"]
-    grouped = vectors.where(F.col("label").isNotNull() & usable(F.col("embedding"))).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+def component_kind(vectors: DataFrame) -> str:
+    """How components travel: as the table holds them, doubles if they are neither floats nor doubles."""
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    return "<f4" if element == "float" else "<f8"
+
+
+def digests(vectors: DataFrame, with_raw: bool) -> DataFrame:
+    """vec_id, key (a digest of label and components; null for what links with nothing) of each row, and if asked for
+    label and raw (the components)."""
+    kind = component_kind(vectors)
+    ok = usable(F.col("embedding")) & F.col("label").isNotNull()
+    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.when(ok, F.col("embedding")).alias("embedding"))
 
     def run(batches):
         for b in batches:
-            raw = [np.asarray(v.as_py(), dtype=np.float64).tobytes() for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0).cast(pa.int64()), pa.array(raw, pa.binary()), b.column(3)], ["rep", "label", "raw", "n"])
+            raw = [None if v is None else np.asarray(v, dtype=kind).tobytes() for v in b.column(2).to_pylist()]
+            key = [None if r is None else blake2b(r + int(n).to_bytes(16, "little", signed=True), digest_size=16).digest() for r, n in zip(raw, b.column(1).to_pylist(), strict=True)]
+            more = [b.column(1), pa.array(raw, pa.binary())] if with_raw else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), *more], ["vec_id", "key", "label", "raw"][: 2 + len(more)])
 
-    return grouped.mapInArrow(run, f"rep {kind}, label long, raw binary, n long")
+    return rows.mapInArrow(run, f"vec_id {dict(vectors.dtypes)['vec_id']}, key binary" + ", label long, raw binary" * with_raw)
+
+
+def classes(vectors: DataFrame) -> DataFrame:
+    """rep (a number), key, first (smallest vec_id), n copies, label, raw of each distinct labelled vector."""
+    found = digests(vectors, True).where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("raw").alias("raw"))
+    return found.select(F.monotonically_increasing_id().alias("rep"), "key", "first", "n", "label", "raw")
 
 
 def _same_direction(v: np.ndarray, cosine: float) -> np.ndarray:
@@ -116,14 +146,14 @@ def _same_direction(v: np.ndarray, cosine: float) -> np.ndarray:
     return hit
 
 
-def _compare(pdf: pd.DataFrame, base: int, cosine: float) -> pd.DataFrame:
+def _compare(pdf: pd.DataFrame, base: int, cosine: float, kind: str) -> pd.DataFrame:
     """What the filters of one cell show: rows (rep, other, links): links to add to rep's, or a link rep - other."""
     pdf = pdf.sort_values(["dim", "bucket", "i", "j", "side"], kind="stable")
     out_rep, out_other, out_links = [], [], []
     for dim, part in pdf.groupby("dim", sort=True):
         rep, n, key = part["rep"].to_numpy(), part["n"].to_numpy(), part["bucket"].to_numpy()
         side, labels = part["side"].to_numpy(), part["label"].to_numpy()
-        vec = _unit(part["raw"].tolist())
+        vec = _unit(part["raw"].tolist(), kind)
         tile = part["i"].to_numpy() * 1_000_003 + part["j"].to_numpy()
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
         starts = np.concatenate([np.flatnonzero(new), [len(key)]])
@@ -177,9 +207,11 @@ def _compare(pdf: pd.DataFrame, base: int, cosine: float) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE, base: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors."""
-    known = materialize(classes(vectors), "vectors-classes")
+    kind = component_kind(vectors)
+    width = np.dtype(kind).itemsize
+    known = materialize(classes(vectors), "vectors-classes")  # from here on the numbers are fixed
     if base is None:
-        base = 1 << min(12, max(6, math.ceil(math.log2(max(known.count(), 1)) / 2 + 2)))
+        base = 1 << max(6, math.ceil(math.log2(max(known.count(), 1)) / 2 + 2))
 
     def pass_filters(batches):
         for b in batches:
@@ -187,43 +219,37 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE
             keys = [None] * len(raw)
             by_dim: dict[int, list[int]] = {}
             for k, r in enumerate(raw):
-                by_dim.setdefault(len(r) // 8, []).append(k)
+                by_dim.setdefault(len(r) // width, []).append(k)
+            some = max(1, min(512, (1 << 22) // base))
             for dim, rows in by_dim.items():
-                for c in range(0, len(rows), 512):
-                    some = rows[c : c + 512]
-                    for k, f in zip(some, decode(_unit([raw[k] for k in some]), base), strict=True):
+                for c in range(0, len(rows), some):
+                    part = rows[c : c + some]
+                    for k, f in zip(part, decode(_unit([raw[k] for k in part], kind), base), strict=True):
                         keys[k] = _keys(f, label[k], dim)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["rep", "buckets"])
 
-    kind = dict(known.dtypes)["rep"]
-    passed = materialize(known.select("rep", "label", "raw").mapInArrow(pass_filters, f"rep {kind}, buckets array<long>"), "vectors-filters")
+    passed = materialize(known.select("rep", "label", "raw").mapInArrow(pass_filters, "rep long, buckets array<long>"), "vectors-filters")
     entries = passed.select("rep", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("bucket", "b")
-    entries = entries.join(shared, F.col("bucket") == F.col("b")).select("rep", "bucket", "m")
-    # rep alone may name several classes (equal ids), so classes are matched by rep and each keeps its own vector
+    entries = materialize(entries.join(shared, F.col("bucket") == F.col("b")).select("rep", "bucket", "m"), "vectors-shared")
     tiles = F.ceil(F.col("m") / tile).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
     spread = entries.withColumn("tiles", tiles).withColumn("own", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.select("rep", "bucket", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), F.col("own").alias("side"))
-    total = entries.count()
-    cells = max(1, math.ceil(total / CELL))
-    full = spread.join(known.withColumnRenamed("rep", "k"), F.col("rep") == F.col("k")).drop("k")
-    full = full.withColumn("dim", (F.length("raw") / 8).cast("int")).withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
-    seen = materialize(full.groupBy("cell").applyInPandas(lambda pdf: _compare(pdf, base, cosine), f"rep {kind}, other {kind}, links long"), "vectors-links")
+    cells = max(1, math.ceil(entries.count() / CELL))
+    full = spread.join(known.select(F.col("rep").alias("k"), "label", "raw", "n"), F.col("rep") == F.col("k")).drop("k")
+    full = full.withColumn("dim", (F.length("raw") / width).cast("int")).withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
+    seen = materialize(full.groupBy("cell").applyInPandas(lambda pdf: _compare(pdf, base, cosine, kind), "rep long, other long, links long"), "vectors-links")
     sums = seen.where("links > 0").groupBy("rep").agg(F.sum("links").alias("more"))
-    comp = components(seen.where("links = 0").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    per = known.select("rep", "label", "raw", "n").join(sums, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    # copies find their class by the digest of the vector, as classes() grouped them
-    small = materialize(per.select("rep", "n", "more", "component"), "vectors-found").where("n > 1 or more > 0 or component is not null")
-    mine = vectors.select("vec_id", "label", "embedding", usable(F.col("embedding")).alias("ok"))
-    reps = vectors.where(F.col("label").isNotNull() & usable(F.col("embedding"))).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    many = reps.where("copies > 1").select(F.col("label").alias("l"), F.col("embedding").alias("e"), F.col("rep").alias("first"))
-    mine = mine.join(many, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
-    mine = mine.select("vec_id", F.when(F.col("ok") & F.col("label").isNotNull(), F.coalesce("first", "vec_id")).alias("own"))
-    out = mine.join(small, F.col("own") == F.col("rep"), "left")
-    links = F.coalesce(F.col("n") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).cast("long")
-    root = F.coalesce("component", "own", "vec_id")
-    return out.select("vec_id", links.alias("n_links"), root.alias("component_id"), F.col("vec_id").eqNullSafe(root).alias("kept"))
+    comp = components(seen.where("links = 0").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
+    per = known.select("rep", "key", "first", "n").join(sums, "rep", "left").join(comp, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    # only classes of copies or links can differ from a row of its own
+    per = materialize(per.where("n > 1 or component is not null"), "vectors-found")
+    least = per.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = per.join(least, "root").select(F.col("key").alias("known"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), "component_id")
+    out = digests(vectors, False).join(linked, F.col("key") == F.col("known"), "left")
+    root = F.when(F.col("known").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.col("vec_id").eqNullSafe(root).alias("kept"))
 
 
 def op2_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,8 @@ A fingerprint has 64 bits, one for each bit position set in over half of the XXH
 Fingerprints at `MAX_BITS` = 4 or fewer differing bits agree in at least 8 - 4 = 4 of their 8 bytes.  The index posts
 each distinct fingerprint under byte values at positions, three positions to a posting: 20 triples suffice, for any four
 of eight positions hold one of them (`TRIPLES`), which keeps postings short where single bytes would give 256 huge ones.
-Within a posting, pairs are tallied for shared positional bytes, kept from 4 on, and verified by counting differing bits.
-Copies share a fingerprint and are one entry.  No posting emits its pairs: one of two entries is compared at once, one of
-up to `POSTING` is searched breadth first in numpy and gives a spanning forest, and a longer one is joined through
-common neighbours at two bits or fewer, whose number is linear in its entries.
+Within a posting of any length (see postings.py), the byte lists of single positions tally the bytes that pairs share;
+pairs are kept from 4 on, and verified by counting differing bits.  Copies share a fingerprint and are one entry.
 
 Defined results: null texts and texts without words have fingerprint 0 and link like any other; a text of fewer words
 than a shingle is one shingle; repeated rows link; a null doc_id is never the smallest unless alone; an empty table
@@ -19,21 +17,19 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, table
+from . import postings
+from .common import materialize, pieces, table
 from .components import components
 
 MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
-#: Entries of a posting that one task searches; longer ones take the distributed way.
-POSTING = 50_000
 #: Removed ids of at most so many rows are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -50,22 +46,28 @@ def _triples() -> list[tuple[int, ...]]:
 TRIPLES = _triples()
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> bytes:
-    """8 bytes, most significant first."""
+def shingle_hashes(text: str | None, width: int, seed: int):
+    """XXH64 of a text's shingles of words, in order, as arrays of at most 2^16."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8)
+        return
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     n = max(len(words) - width + 1, 1)
-    stops = ends[-n:].tolist() if len(words) >= width else [len(joined)]
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    stops = ends[-n:] if len(words) >= width else ends[-1:]
+    starts = np.concatenate([[0], ends[: n - 1] + 1])
     digest = xxhash.xxh64_digest
-    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):
-        part = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)], strict=True)])
-        bits = np.unpackbits(np.frombuffer(part, dtype=np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
+        part = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)].tolist(), stops[at : at + (1 << 16)].tolist(), strict=True)])
+        yield np.frombuffer(part, dtype=np.uint64)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> bytes:
+    """8 bytes, most significant first."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in shingle_hashes(text, width, SEED):
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return np.packbits(counts * 2 > n).tobytes()
 
 
@@ -73,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch, 1)):
             fp = b"".join([fingerprint(t.as_py(), width) for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(fp, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
 
@@ -85,72 +87,26 @@ def _posting_keys(fp: Column) -> Column:
     keys = []
     for i, (a, b, c) in enumerate(TRIPLES):
         packed = F.shiftleft(byte(a), 16).bitwiseOR(F.shiftleft(byte(b), 8)).bitwiseOR(byte(c))
-        keys.append(packed.bitwiseOR(F.lit(i << 24)).cast("int"))
+        keys.append(packed.bitwiseOR(F.lit(i << 24)).cast("long"))
     return F.explode(F.array(*keys))
 
 
-def forest(values: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among distinct fingerprints, breadth first; each is compared with those not yet
-    reached only."""
-    left = values.copy()
-    a, b = [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            differ = left ^ x
-            shared = np.zeros(len(left), dtype=np.uint8)  # tally of shared positional bytes
-            for p in range(8):
-                shared += (differ >> np.uint64(8 * p)).astype(np.uint8) == 0
-            some = np.flatnonzero(shared >= 8 - max_bits)
-            near = some[np.bitwise_count(differ[some]) <= max_bits]
-            if len(near):
-                found = left[near]
-                a.append(np.full(len(found), x, dtype=np.uint64))
-                b.append(found)
-                queue.extend(found.tolist())
-                left = np.delete(left, near)
-    none = np.zeros(0, dtype=np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, posting: int = POSTING) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, tile: int = postings.TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that join the same fingerprints as all links would."""
-    keys = distinct.select("fp", _posting_keys(F.col("fp")).alias("key"))
-    postings = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-postings")
-    two = postings.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
-    longer = postings.where("n > 2").select(F.col("key").alias("k"), "n")
-    if not longer.head(1):
-        return two
-
-    members = keys.join(longer, F.col("key") == F.col("k")).select("fp", "key", "n")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(np.unique(pdf["fp"].to_numpy()).view(np.uint64), max_bits)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    out = two.union(members.where(F.col("n") <= posting).groupBy("key").applyInPandas(search, "a long, b long"))
-    if longer.where(F.col("n") > posting).head(1):
-        out = out.union(_through_neighbours(members.where(F.col("n") > posting).select("fp").distinct()))
-    return out
-
-
-def _through_neighbours(fps: DataFrame) -> DataFrame:
-    """Two fingerprints are within four bits exactly if some value is within two bits of both."""
-    one = [1 << i for i in range(64)]
-    flips = [0, *one, *[x | y for x, y in combinations(one, 2)]]
-    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in flips]
-    near = fps.withColumn("via", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in signed]), lambda m: m.bitwiseXOR(F.col("fp")))))
-    least = near.groupBy("via").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("via").alias("v"), "b")
-    return near.join(least, F.col("via") == F.col("v")).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    entries = distinct.select(_posting_keys(F.col("fp")).alias("key"), F.col("fp").alias("node"))
+    return postings.links(entries, ["node"], max_bits, 8 - max_bits, tile=tile)
 
 
 def groups(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id and root (the fingerprint that names the group) of each row."""
     fps = materialize(fingerprints(docs, width), "simhash-fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    comp = components(links(nodes.select("fp"), max_bits))
-    comp = comp.select(F.col("node").alias("fp"), "component")
+    return named_groups(fps, nodes, links(nodes.select("fp"), max_bits))
+
+
+def named_groups(fps: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id and root of each row of fps (doc_id, fp), from its nodes (fp, first, n) and links."""
+    comp = components(found).select(F.col("node").alias("fp"), "component")
     roots = nodes.join(comp, "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"), F.col("component").isNotNull().alias("linked"))
     # a root's smallest document; only what is linked or repeated can differ from its own
     known = materialize(roots.where("linked or n > 1"), "simhash-known")
@@ -168,7 +124,6 @@ def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
     index = index or groups
     mark = mark or (lambda t: int.from_bytes(fingerprint(t), "big", signed=True))
     found = materialize(index(docs), "simhash-groups")
-    kind = found.schema["fp"].dataType
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-again")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     out = _without(docs, found.where(~first).select("doc_id").union(again.select("doc_id")).distinct())
@@ -180,10 +135,10 @@ def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
 
         def run(batches):
             for x in batches:
-                fp = pa.array([mark(t.as_py()) for t in x.column(at)], pa.binary() if isinstance(kind, BinaryType) else pa.int64())
+                fp = pa.array([mark(t.as_py()) for t in x.column(at)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*x.columns, fp], [*x.schema.names, fp_name])
 
-        marked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(fp_name, kind)]))
+        marked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(fp_name, LongType())]))
         keep = found.where(first).select(F.col("doc_id").alias(keep_id), F.col("fp").alias(keep_fp), F.col("root").alias(keep_root)).distinct()
         hit = marked["doc_id"].eqNullSafe(keep[keep_id]) & (marked[fp_name] == keep[keep_fp])
         out = out.unionByName(marked.join(keep, hit).dropDuplicates(["doc_id", keep_root]).select(*docs.columns))

@@ -1,24 +1,23 @@
 """Near-duplicates by similarity: shingle sets of five words with Jaccard similarity `SIMILARITY` or more.
 
 Four bits-by-majority words of 64 bits each stand for a text's set of shingles.  Two sets of Jaccard similarity J differ in
-about acos(2J / (1 + J)) / pi of the bits.  Candidates come from two inverted indexes over distinct fingerprints:
+about acos(2J / (1 + J)) / pi of the bits.  Candidates come from two inverted indexes over distinct fingerprints, both
+searched as postings.py says:
 
-- Byte positions: two byte values at positions of one class (classes of 3, 3 and 2 positions a word: 28 postings); entries
+- Byte positions: two byte values at positions of one class (classes of 3, 3 and 2 positions a word: 28 postings); pairs
   of a posting are tallied for shared positional bytes, kept from `SHARED` on, at `most_bits` differing bits or fewer.  No
   number of shared bytes is certain at that distance, so this index alone loses pairs.
 - Shingles, which lose none: of n shingles, the n - ceil(0.8 n) + 1 of smallest hash are posted; two sets that share no
-  posting have similarity below 0.8.  Entries of a posting go on at `filter_bits` differing bits or fewer, eight standard
+  posting have similarity below 0.8.  Pairs of a posting go on at `filter_bits` differing bits or fewer, eight standard
   deviations above what similarity 0.8 gives.
 
 Candidates form clusters.  Each cluster's shingle sets are compared exactly (64-bit hashes of shingles), and only pairs at
-the similarity link.  The contract's exact operator at four bits is in simhash.py.
-
-Postings are dealt in cells; a cell compares entries of short postings pairwise in one numpy pass and searches long ones
-breadth first, and gives a spanning forest, never all pairs of a group.  A cluster of more than `TILE` sets is cut into
-tiles, and each two tiles are compared in a task of their own.
+the similarity link.  A cluster whose sets hold more than `TILE` bytes is cut into tiles, and each two tiles are compared
+apart.  The contract's exact operator at four bits is in simhash.py.
 
 Defined results: as in simhash.py; texts without words are copies of each other; texts of fewer words than a shingle are
-one shingle.
+one shingle.  Fingerprints travel as their 64-bit hash: two of them that collide would count as copies (odds of 1 in
+30,000 for 30 million texts).
 """
 
 from __future__ import annotations
@@ -33,22 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import postings
+from .common import discard, materialize, pieces
 from .components import components
-from .simhash import BROADCAST_IDS
+from .simhash import BROADCAST_IDS, named_groups, shingle_hashes
 from .subwords import mix64
 
 WIDTH = 5
 SIMILARITY = 0.8
 WORDS = 4
 SHARED = 4
-#: Entries of a cell, about.
-CELL = 200_000
-SHORT = 48
-#: Sets of a cluster that one task compares; larger clusters are cut.
-TILE = 4096
+SEED = 7
+#: Bytes of a cluster's sets that are compared at a time, and of the sets of a cell of clusters.
+TILE, CELL = 4 << 20, 8 << 20
 CLASSES = ((0, 1, 2), (3, 4, 5), (6, 7))
 PAIRS = [(8 * w + a, 8 * w + b) for w in range(WORDS) for c in CLASSES for a, b in combinations(c, 2)]
+COLUMNS = [f"w{k}" for k in range(WORDS)]
 _SALT = np.array([0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(WORDS)], dtype=np.uint64)
 
 
@@ -66,29 +65,26 @@ def filter_bits(similarity: float = SIMILARITY) -> int:
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Hashes of a text's distinct shingles, ascending."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(len(words) - width + 1, 1)
-    stops = ends[-n:].tolist() if len(words) >= width else [len(joined)]
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], 7) for a, b in zip(starts, stops, strict=True)]), dtype=np.uint64))
-
-
-def majority(h: np.ndarray) -> bytes:
-    """The fingerprint of a set of shingles."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, width, SEED)]))
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles: WORDS unsigned longs."""
     counts = np.zeros(64 * WORDS, dtype=np.int64)
-    for at in range(0, len(h), 1 << 15):
-        wide = mix64(h[at : at + (1 << 15), None] * np.uint64(0xD6E8FEB86659FD93) + _SALT[None, :])
+    for at in range(0, len(h), 1 << 13):
+        wide = mix64(h[at : at + (1 << 13), None] * np.uint64(0xD6E8FEB86659FD93) + _SALT[None, :])
         counts += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(h)).tobytes()
+    return np.packbits(counts * 2 > len(h)).view(np.uint64)
+
 
+def number(fingerprint: np.ndarray) -> int:
+    """The fingerprint's hash, as a signed long."""
+    h = xxhash.xxh64_intdigest(fingerprint.tobytes())
+    return h - (1 << 64) if h >= 1 << 63 else h
 
-def fingerprint(text: str | None, width: int = WIDTH) -> bytes:
-    return majority(shingles(text, width))
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    return number(majority(shingles(text, width)))
 
 
 def prefix(h: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -97,73 +93,38 @@ def prefix(h: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return h[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def _near(a: np.ndarray, b: np.ndarray, bits: int, least: int) -> np.ndarray:
-    """Count filter on shared positional bytes, then differing bits.  a, b: rows of WORDS unsigned longs."""
-    differ = a ^ b
-    if not least:
-        return np.bitwise_count(differ).sum(axis=1) <= bits
-    shared = (np.ascontiguousarray(differ).view(np.uint8).reshape(len(differ), -1) == 0).sum(axis=1)
-    out = shared >= least
-    some = np.flatnonzero(out)
-    out[some] = np.bitwise_count(differ[some]).sum(axis=1) <= bits
-    return out
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *[x.view(np.int64) for x in arrays]])))
 
 
-def _forest(v: np.ndarray, bits: int, least: int) -> tuple[list[int], list[int]]:
-    """Spanning forest of row numbers; each row is compared with those not yet reached only."""
-    left, a, b = np.arange(len(v)), [], []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            hit = _near(v[left], np.broadcast_to(v[x], (len(left), WORDS)), bits, least)
-            found = left[hit].tolist()
-            a += [x] * len(found)
-            b += found
-            queue += found
-            left = left[~hit]
-    return a, b
+def prints(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """doc_id, fp (the fingerprint's number), its words, and low (the shingles to post) of each row."""
+
+    def run(batches):
+        for x in (piece for batch in batches for piece in pieces(batch, 1, 2 << 20)):
+            sets = [shingles(t.as_py(), width) for t in x.column(1)]
+            found = [majority(h) for h in sets]
+            words = np.stack(found).view(np.int64)
+            low = _lists([prefix(h, similarity) for h in sets])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([number(f) for f in found], pa.int64()), *[pa.array(words[:, k]) for k in range(WORDS)], low], ["doc_id", "fp", *COLUMNS, "low"])
 
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, {', '.join(f'{w} long' for w in COLUMNS)}, low array<long>")
+
+
+def estimated_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links by differing bits between fingerprints that meet in the byte-position index.  nodes: fp, words."""
+    byte = lambda p: F.shiftrightunsigned(F.col(COLUMNS[p // 8]), 8 * (p % 8)).bitwiseAND(F.lit(255))
+    keys = [F.lit(i << 16).cast("long").bitwiseOR(F.shiftleft(byte(p), 8)).bitwiseOR(byte(q)) for i, (p, q) in enumerate(PAIRS)]
+    entries = nodes.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), *COLUMNS)
+    return postings.links(entries, COLUMNS, most_bits(similarity), SHARED)
 
-def _search(pdf: pd.DataFrame, bits: int, least: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("key", kind="stable")
-    key = pdf["key"].to_numpy()
-    raw = pdf["fp"].to_numpy()
-    v = np.frombuffer(b"".join(raw), dtype=np.uint64).reshape(len(raw), WORDS)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-    size = np.repeat(np.diff(starts), np.diff(starts))
-    a, b = [], []
-    longest = int(size[size <= SHORT].max(initial=1))
-    for k in range(1, longest):
-        i = np.flatnonzero((key[k:] == key[:-k]) & (size[k:] <= SHORT))
-        i = i[_near(v[i], v[i + k], bits, least)] if len(i) else i
-        a.append(i)
-        b.append(i + k)
-    for s, e in zip(starts[:-1], starts[1:], strict=True):
-        if e - s > SHORT:
-            x, y = _forest(v[s:e], bits, least)
-            a.append(np.array(x, dtype=np.int64) + s)
-            b.append(np.array(y, dtype=np.int64) + s)
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-    which, name = pd.factorize(raw)
-    root = _roots(which[a], which[b], len(name))
-    linked = np.flatnonzero(root != np.arange(len(name)))
-    return pd.DataFrame({"a": name[linked], "b": name[root[linked]]})
-
-
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node that each of n nodes reaches by links a - b: postings of a cell repeat each other's links, and
-    one link a fingerprint carries them all."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+
+def shingle_links(fps: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links by differing bits between fingerprints that share a posted shingle."""
+    entries = fps.select(F.explode("low").alias("key"), F.col("fp").alias("node"))
+    return postings.links(entries, COLUMNS, filter_bits(similarity), 0, nodes.withColumnRenamed("fp", "node"), repeated=True)
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -200,87 +161,44 @@ def _verify(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
         x, y = _similar([np.frombuffer(r, dtype=np.uint64) for r in rows["shingles"]], similarity)
         a += [name[k] for k in x]
         b += [name[k] for k in y]
-    return pd.DataFrame({"a": a, "b": b}, dtype=object)
+    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
     """fp, cluster, shingles of the fingerprints in clusters, from one row of each."""
 
     def run(batches):
-        for x in batches:
-            for t in x.column(0):
-                h = shingles(t.as_py(), width)
-                yield pa.RecordBatch.from_arrays([pa.array([majority(h)], pa.binary()), pa.array([h.tobytes()], pa.binary())], ["own", "shingles"])
+        for x in (piece for batch in batches for piece in pieces(batch, 0, 1 << 20)):
+            sets = [shingles(t.as_py(), width) for t in x.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([number(majority(h)) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["own", "shingles"])
 
     ids = materialize(nodes.join(clusters, "fp").select(F.col("first").alias("some_id")).distinct(), "wide-ids")
     rows = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["some_id"]), "left_semi")
-    sets = rows.select("text").mapInArrow(run, "own binary, shingles binary")
+    sets = rows.select("text").mapInArrow(run, "own long, shingles binary")
     return clusters.join(sets, F.col("fp") == F.col("own")).groupBy("fp", "cluster").agg(F.first("shingles").alias("shingles"))
 
 
-def _search_cells(entries: DataFrame, n: int, bits: int, least: int) -> DataFrame:
-    cells = max(1, math.ceil(n / CELL))
-    return entries.groupBy(F.pmod(F.xxhash64("key"), F.lit(cells)).alias("cell")).applyInPandas(lambda pdf: _search(pdf, bits, least), "a binary, b binary")
-
-
-def estimated_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links by differing bits between fingerprints that meet in the byte-position index."""
-
-    def post(batches):
-        for x in batches:
-            fp = x.column(0)
-            v = np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(len(fp), -1).astype(np.int32)
-            keys = np.stack([(i << 16) | (v[:, p] << 8) | v[:, q] for i, (p, q) in enumerate(PAIRS)], axis=1)
-            at = np.repeat(np.arange(len(fp)), len(PAIRS))
-            for s in range(0, len(at), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[s : s + (1 << 17)]), fp.take(pa.array(at[s : s + (1 << 17)]))], ["key", "fp"])
-
-    entries = nodes.select("fp").mapInArrow(post, "key int, fp binary")
-    return _search_cells(entries, nodes.count() * len(PAIRS), most_bits(similarity), SHARED)
-
-
 def exact_links(docs: DataFrame, fps: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """a, b: links between distinct fingerprints that join what all pairs at the Jaccard similarity join."""
-    posted = fps.select("id", F.explode("low").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select(F.col("key").alias("k"))
-    entries = posted.join(shared, F.col("key") == F.col("k")).select("id", "key").distinct()
-    entries = materialize(entries.join(nodes.select("id", "fp"), "id").select("key", "fp"), "wide-shared")
-    by_shingles = _search_cells(entries, entries.count(), filter_bits(similarity), 0)
-    near = components(estimated_links(nodes, similarity).union(by_shingles))
+    words = nodes.select("fp", *COLUMNS)
+    near = components(estimated_links(words, similarity).union(shingle_links(fps, words, similarity)))
     clusters = materialize(near.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "wide-clusters")
     sets = materialize(_sets(docs, nodes, clusters, width), "wide-sets")
-    tiles = sets.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).withColumnRenamed("cluster", "c")
+    size = F.length("shingles")
+    tiles = sets.groupBy("cluster").agg(F.ceil(F.sum(size) / TILE).cast("int").alias("tiles")).select(F.col("cluster").alias("c"), F.greatest("tiles", F.lit(1)).alias("tiles"))
     own = sets.join(tiles, F.col("cluster") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     spread = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.select("cluster", "fp", "shingles", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"))
-    cells = max(1, math.ceil(sets.count() / TILE))
-    spread = spread.withColumn("cell", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(cells)))
-    return spread.groupBy("cell").applyInPandas(lambda pdf: _verify(pdf, similarity), "a binary, b binary")
-
+    total = own.agg(F.sum(size * F.col("tiles"))).first()[0] or 0
+    spread = spread.withColumn("cell", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(max(1, math.ceil(total / CELL)))))
+    out = materialize(spread.groupBy("cell").applyInPandas(lambda pdf: _verify(pdf, similarity), "a long, b long"), "wide-links")
+    discard(clusters, sets)
+    return out
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, exact: bool = False) -> DataFrame:
-    """doc_id, fp, component_id and root (the fingerprint that names the group) of each row, by differing bits or, if exact, by the Jaccard similarity."""
 
-    def prints(batches):
-        for x in batches:
-            sets = [shingles(t.as_py(), width) for t in x.column(1)]
-            fp = [majority(h) for h in sets]
-            number = pa.array([xxhash.xxh64_intdigest(f) for f in fp], pa.uint64())
-            low = pa.array([prefix(h, similarity).view(np.int64) if exact else None for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fp, pa.binary()), pa.array(np.asarray(number).view(np.int64)), low], ["doc_id", "fp", "id", "low"])
-
-    fps = materialize(docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary, id long, low array<long>"), "wide-fp")
-    nodes = materialize(fps.groupBy("fp", "id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "wide-nodes")
-    found = exact_links(docs, fps, nodes, similarity, width) if exact else estimated_links(nodes, similarity)
-    comp = components(found).select(F.col("node").alias("fp"), "component")
-    roots = nodes.join(comp, "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"), F.col("component").isNotNull().alias("linked"))
-    known = materialize(roots.where("linked or n > 1"), "wide-known")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select(F.col("fp").alias("known_fp"), "component_id", "root")
-    out = fps.join(named, F.col("fp") == F.col("known_fp"), "left")
-    component = F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return out.select("doc_id", "fp", component, F.coalesce("root", "fp").alias("root"))
-
-
-def exact_groups(docs: DataFrame) -> DataFrame:
-    return groups(docs, exact=True)
+def exact_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """doc_id, fp, component_id and root (the fingerprint that names the group) of each row."""
+    fps = materialize(prints(docs, similarity, width), "wide-fp")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), *[F.first(w).alias(w) for w in COLUMNS])
+    nodes = materialize(nodes, "wide-nodes")
+    return named_groups(fps.select("doc_id", "fp"), nodes, exact_links(docs, fps, nodes, similarity, width))

@@ -28,31 +28,39 @@ def test_recall_and_precision():
         x, y = shingles(a), shingles(b)
         if len(x & y) / len(x | y) < 0.85:
             continue
-        f, g = (np.frombuffer(S.fingerprint(t), dtype=np.uint8) for t in (a, b))
+        f, g = (S.majority(S.shingles(t)).view(np.uint8) for t in (a, b))
         n += 1
         hit += any(f[p] == g[p] and f[q] == g[q] for p, q in S.PAIRS) and np.unpackbits(f ^ g).sum() <= bits
     assert n > 40 and hit / n > 0.93
-    far = [np.frombuffer(S.fingerprint(prose(k, 200)), dtype=np.uint8) for k in range(60)]
+    far = [S.majority(S.shingles(prose(k, 200))).view(np.uint8) for k in range(60)]
     assert min(np.unpackbits(far[i] ^ far[j]).sum() for i in range(60) for j in range(i)) > 2 * bits
 
 
-@pytest.mark.parametrize("cell", [200_000, 500])
-def test_groups_join_what_all_links_join(spark, odd_docs, no_docs, monkeypatch, cell):
-    monkeypatch.setattr(S, "CELL", cell)
+@pytest.mark.parametrize("tile", [8192, 20])
+def test_estimated_links_join_what_all_links_join(spark, monkeypatch, tile):
+    """The byte-position index against the same test on all pairs, short and long postings, whole and in tiles."""
+    monkeypatch.setattr(S.postings.links, "__defaults__", (None, False, tile, 500))
     base = prose(5, 200)
-    texts = [(i, prose(i, 150)) for i in range(30)] + [(100 + i, edited(base, 0.01, i)) for i in range(70)] + [(300, base), (301, base), (302, None), (303, " ")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in S.groups(docs).collect()}
-    fp = {i: np.frombuffer(S.fingerprint(t), dtype=np.uint8) for i, t in texts}
+    texts = [prose(i, 150) for i in range(30)] + [edited(base, 0.01, i) for i in range(70)] + [base]
+    fp = {S.number(f): f for f in (S.majority(S.shingles(t)) for t in texts)}
+    nodes = spark.createDataFrame([(i, *f.view(np.int64).tolist()) for i, f in fp.items()], ["fp", *S.COLUMNS])
+    v = {i: f.view(np.uint8) for i, f in fp.items()}
     ok = lambda f, g: any(f[p] == g[p] and f[q] == g[q] for p, q in S.PAIRS) and np.unpackbits(f ^ g).sum() <= S.most_bits() and (f == g).sum() >= S.SHARED
-    ids = sorted(fp)
-    assert got == labels_of(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if ok(fp[a], fp[b])])
-    assert S.groups(no_docs).count() == 0
-    kept = simhash.drop_near_copies(odd_docs.where("doc_id is null or doc_id <> 104"), S.groups, S.fingerprint)
-    assert kept.columns == odd_docs.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id = 100").count() == 0
+    ids = sorted(v)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if ok(v[a], v[b])]
+    found = [(r.a, r.b) for r in S.estimated_links(nodes).collect()]
+    assert len(links) > 500 and labels_of(ids, found) == labels_of(ids, links)
+
+
+def test_edge_cases_of_exact_groups(spark, odd_docs, no_docs):
+    kept = simhash.drop_near_copies(odd_docs, S.exact_groups, S.fingerprint)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == odd_docs.columns and ids.count(3) == 1 and ids.count(100) == 0 and ids.count(104) == 1 and ids.count(None) == 1
+    assert sum(i in (101, 102, 103) for i in ids) == 1
+    assert S.exact_groups(no_docs).count() == 0 and simhash.drop_near_copies(no_docs, S.exact_groups, S.fingerprint).count() == 0
 
 
-@pytest.mark.parametrize("tile", [4096, 16])
+@pytest.mark.parametrize("tile", [4 << 20, 40_000])
 def test_exact_groups_join_all_pairs_at_the_similarity(spark, no_docs, monkeypatch, tile):
     """Against true Jaccard similarity of all pairs: pairs just above 0.8 link, pairs just below do not."""
     monkeypatch.setattr(S, "TILE", tile)
