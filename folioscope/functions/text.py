@@ -227,12 +227,6 @@ def language_by_stopwords(text: Column) -> Column:
     return F.when((F.length(strip(text)) >= 20) & (best > 0), pick)
 
 
-def page_number(node_id: Column, fields: list[Column], position: Column) -> Column:
-    """From /page/N/ of an id, else the first usable field, else the 1-based position."""
-    from_id = F.regexp_extract(nz(node_id), r"/page/(\d+)/", 1).try_cast("int")
-    return F.coalesce(from_id, *[f.try_cast("int") for f in fields], position)
-
-
 def strip_html(html: Column) -> Column:
     """Readable text: breaks become lines, tags spaces, and a few entities are decoded (ampersand first)."""
     text = F.regexp_replace(nz(html), r"<[^>]+>", " ")

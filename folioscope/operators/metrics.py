@@ -14,6 +14,7 @@ from ..constants import KEYS, METRICS, SINGLE_LETTERS, STOPWORD_BAND, STOPWORD_S
 from ..functions import markup as M
 from ..functions import text as T
 from ..schemas import LOCATION
+from ..session import held
 from . import context as C
 from .pages import is_content, with_text
 
@@ -387,14 +388,17 @@ assert list(REGISTRY) == KEYS
 
 def features(pages: DataFrame, config: Config, lexicon: DataFrame | None = None) -> DataFrame:
     """pages with everything that metrics read: texts and tokens, language, document medians and fluency bounds, unknown
-    words, repeated runs, and agreement with other sources."""
+    words, repeated runs, and agreement with other sources.  Pages with their texts and tokens are written once; each
+    relation that is joined to them reads its own columns of that."""
     p = C.page_languages(with_text(pages))
+    p = held(p.withColumns({"words": T.word_tokens(F.col("prose")), "raw_words": T.raw_tokens(F.col("prose"))}), "pages")
     lexicon = lexicon if lexicon is not None else C.default_lexicon(p)
     fluency, bounds = C.page_fluency(p)
+    median = C.median_blocks(p)
     p = p.join(C.invalid_tokens(p, lexicon), C.PAGE, "left").join(fluency, C.PAGE, "left").join(C.top_ngrams(p, config.xsa_repeat_ngram), C.PAGE, "left")
-    p = p.join(C.median_blocks(pages), "doc_id", "left").join(bounds, "doc_id", "left")
+    p = p.join(median, "doc_id", "left").join(bounds, "doc_id", "left")
     body = F.when(F.col("prose") != "", F.col("prose")).otherwise(F.col("text"))
-    p = p.withColumns({"words": T.word_tokens(F.col("prose")), "raw_words": T.raw_tokens(F.col("prose")), "no_prose": T.is_blank(F.col("prose")), "body": body, "html_plain": T.normalize(T.strip_html(F.col("html_text")))})
+    p = p.withColumns({"no_prose": T.is_blank(F.col("prose")), "body": body, "html_plain": T.normalize(T.strip_html(F.col("html_text")))})
     shapes = word_shapes(F.col("raw_words"), config.l_max_token)
     punct = punctuation_parts(F.col("prose"), F.col("words"))
     p = p.withColumns(

@@ -67,9 +67,54 @@ def renumber(pages: DataFrame) -> DataFrame:
     return pages.withColumn("page_no", F.row_number().over(order))
 
 
+def attach_chunks(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """pages with chunk_text and chunk_meta of the chunks that cover them, as a priority join on raw_page_no: the chunk id
+    at the document's shift (smallest page less smallest id), else the page's own number, else one less.  Pages of
+    documents without chunks have neither."""
+    ids = chunks.select("doc_id", F.explode("page_ids").alias("id"), F.struct("chunk_ord", "content", "chunk_title", "token_count", F.size("page_ids").alias("n"), "table_metrics").alias("c"))
+    per_id = ids.groupBy("doc_id", "id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    numbers = pages.select("doc_id", F.col("raw_page_no").alias("page")).distinct()
+    low = numbers.groupBy("doc_id").agg(F.min("page").alias("page0")).join(ids.groupBy("doc_id").agg(F.min("id").alias("id0")), "doc_id")
+    tries = numbers.join(low, "doc_id").select("doc_id", "page", F.posexplode(F.array(F.col("page") - F.col("page0") + F.col("id0"), F.col("page"), F.col("page") - 1)).alias("rank", "id"))
+    hits = tries.join(per_id, ["doc_id", "id"]).groupBy("doc_id", "page").agg(F.min_by("cs", "rank").alias("cs"))
+    first = F.col("cs")[0]
+    found = hits.select(
+        "doc_id", F.col("page").alias("raw_page_no"), F.array_join(F.transform("cs", lambda c: c["content"]), "\n\n").alias("chunk_text"),
+        F.struct(first["chunk_title"].alias("title"), first["token_count"].alias("token_count"), first["n"].alias("n_pages"), (first["n"] == 1).alias("single_page"), first["table_metrics"].alias("t")).alias("hit"),
+    )
+    has = chunks.select("doc_id").distinct().withColumn("has_chunks", F.lit(True))
+    out = pages.join(found, ["doc_id", "raw_page_no"], "left").join(has, "doc_id", "left")
+    hit, t = F.col("hit"), F.col("hit")["t"]
+    meta = F.struct(F.lit(True).alias("chunks_present"), hit.isNotNull().alias("covered"), hit["title"], hit["token_count"], hit["n_pages"], hit["single_page"], t["has_table"], t["table_count"], t["table_density"])
+    return out.withColumn("chunk_meta", F.when(F.col("has_chunks"), meta).cast(CHUNK_META)).drop("hit", "has_chunks")
+
+
+def page_audit(counted: DataFrame) -> DataFrame:
+    """Whether the artefacts of a document agree on its pages, and with its source, from (doc_id, counts: a map with null
+    for what is missing, source_pages).  Pages are those of the block tree, else the most frequent count."""
+    known = F.filter(F.map_values("counts"), lambda n: n.isNotNull())
+    most = F.array_max(F.transform(known, lambda n: F.struct(F.size(F.filter(known, lambda x: x == n)).alias("times"), (-n).alias("less"))))
+    tree = F.element_at("counts", F.lit("output.json"))
+    out = counted.select("doc_id", "counts", (F.size(F.array_distinct(known)) <= 1).alias("ocr_consistent"), F.when(tree > 0, tree).otherwise(F.coalesce(-most["less"], F.lit(0))).alias("ocr_pages"), "source_pages")
+    out = out.withColumn("delta_ocr_minus_source", F.col("ocr_pages") - F.col("source_pages"))
+    delta = F.col("delta_ocr_minus_source")
+    status = F.when(~F.col("ocr_consistent"), "ocr_inconsistent").when(F.coalesce(delta != 0, F.lit(False)), "source_mismatch").otherwise("ok")
+    given = F.array_join(F.transform(F.filter(F.map_entries("counts"), lambda e: e["value"].isNotNull()), lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string"))), ", ")
+    agreed = F.when(F.col("ocr_consistent"), F.format_string("Every artefact counts %d page(s).", "ocr_pages")).otherwise(F.concat(F.lit("Artefacts count different numbers of pages: "), given, F.lit(".")))
+    source = F.when(delta == 0, F.format_string("The source has %d page(s) too.", "source_pages")).otherwise(F.format_string("The source has %d page(s), the recognised document %d (%+d).", "source_pages", "ocr_pages", delta))
+    messages = F.filter(F.array(agreed, F.when(delta.isNotNull(), source)), lambda m: m.isNotNull())
+    return out.withColumn("status", status).withColumn("messages", messages)
+
+
+def _picked(rows: DataFrame, value: str, last: bool) -> DataFrame:
+    """doc_id, at, value: one value a page number, in the order of `ord` if rows have it, else of the values."""
+    order = F.struct(*[c for c in ("ord", value) if c in rows.columns])
+    return rows.groupBy("doc_id", F.col("page_no").alias("at")).agg((F.max_by if last else F.min_by)(value, order).alias(value))
+
+
 def attach_source(pages: DataFrame, images: DataFrame | None, native: DataFrame | None) -> DataFrame:
     """Images and native text of pages, aligned by the constant shift between the first image and the first page; the
-    last image of a page number and the first native text count."""
+    last image of a page number and the first native text count (in the order of a column `ord`, if they have one)."""
     if images is None and native is None:
         return pages
     first_page = pages.groupBy("doc_id").agg(F.min("page_no").alias("p0"))
@@ -77,15 +122,10 @@ def attach_source(pages: DataFrame, images: DataFrame | None, native: DataFrame
     shift = first_page.join(base, "doc_id").select("doc_id", (F.col("i0") - F.col("p0")).alias("shift"))
     out = pages.drop("image_path", "native_text").join(shift, "doc_id", "left")
     out = out.withColumn("at", F.col("page_no") + F.coalesce("shift", F.lit(0)))
-    none = F.lit(None).cast("string")
-    if images is not None:
-        last = images.withColumn("o", F.monotonically_increasing_id()).groupBy("doc_id", F.col("page_no").alias("at")).agg(F.max_by("image_path", "o").alias("image_path"))
-        out = out.join(last, ["doc_id", "at"], "left")
-    else:
-        out = out.withColumn("image_path", none)
-    if native is not None:
-        one = native.withColumn("o", F.monotonically_increasing_id()).groupBy("doc_id", F.col("page_no").alias("at")).agg(F.min_by("text", "o").alias("native_text"))
-        out = out.join(one, ["doc_id", "at"], "left")
-    else:
-        out = out.withColumn("native_text", none)
+    for rows, value, last in ((images, "image_path", True), (native, "text", False)):
+        name = "native_text" if value == "text" else value
+        if rows is None:
+            out = out.withColumn(name, F.lit(None).cast("string"))
+        else:
+            out = out.join(_picked(rows, value, last).withColumnRenamed(value, name), ["doc_id", "at"], "left")
     return out.drop("at", "shift").select(*pages.columns)

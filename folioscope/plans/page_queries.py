@@ -193,11 +193,11 @@ def chunk_attach(spark, d):
     own, else one less (a priority join)."""
     t = turns(spark, d)
     chunks = t.where((F.col("page_no") % 2 == 1) & ((F.col("doc_id") + F.col("page_no")) % 4 != 0)).select("doc_id", F.col("page_no").alias("chunk_ord"), F.array(F.col("page_no") - 1, F.col("page_no")).alias("page_ids"))
-    ids = chunks.select("doc_id", "chunk_ord", F.explode("page_ids").alias("id"))
-    shift = t.groupBy("doc_id").agg(F.min("page_no").alias("p0")).join(ids.groupBy("doc_id").agg(F.min("id").alias("i0")), "doc_id").select("doc_id", (F.col("p0") - F.col("i0")).alias("shift"))
-    tries = t.join(shift, "doc_id", "left").select("doc_id", "page_no", F.posexplode(F.array(F.col("page_no") - F.coalesce("shift", F.lit(0)), F.col("page_no"), F.col("page_no") - 1)).alias("rank", "id"))
-    hits = tries.join(ids, ["doc_id", "id"]).groupBy("doc_id", "page_no").agg(F.min_by("chunk_ord", F.struct("rank", "chunk_ord")).alias("chunk_ord"))
-    return t.join(hits, ["doc_id", "page_no"], "left").select("doc_id", "page_no", LONG(F.col("chunk_ord")).alias("chunk_ord"), F.col("chunk_ord").isNotNull().alias("covered"))
+    stats = F.expr("named_struct('has_table', false, 'table_count', 0, 'table_density', 0.0D)")
+    chunks = chunks.select("*", F.col("chunk_ord").cast("string").alias("chunk_title"), F.lit("x").alias("content"), F.lit(0).alias("token_count"), stats.alias("table_metrics"))
+    meta = F.col("chunk_meta")
+    found = P.attach_chunks(t.select("doc_id", "page_no", F.col("page_no").alias("raw_page_no")), chunks)
+    return found.select("doc_id", "page_no", LONG(meta["title"]).alias("chunk_ord"), F.coalesce(meta["covered"], F.lit(False)).alias("covered"))
 
 
 CHUNK_SQL = f"""
@@ -213,10 +213,9 @@ def page_count_audit(spark, d):
     t = turns(spark, d)
     n = t.groupBy("doc_id").agg(F.count("*").alias("n"))
     c = n.select("doc_id", LONG(F.col("n")).alias("json_pages"), LONG(F.col("n") - F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("md_pages"), LONG(F.when(F.col("doc_id") % 2 == 0, F.col("n"))).alias("meta_pages"), LONG(F.col("n") + F.when(F.col("doc_id") % 4 == 1, 1).otherwise(0)).alias("source_pages"))
-    known = F.filter(F.array("json_pages", "md_pages", "meta_pages"), lambda x: x.isNotNull())
-    agree = F.size(F.array_distinct(known)) <= 1
-    status = F.when(~agree, "ocr_inconsistent").when(F.col("json_pages") != F.col("source_pages"), "source_mismatch").otherwise("ok")
-    return c.select("doc_id", agree.alias("consistent"), (F.col("json_pages") - F.col("source_pages")).alias("delta"), status.alias("status"))
+    counts = F.create_map(*[x for k in ("json_pages", "md_pages", "meta_pages") for x in (F.lit("output.json" if k == "json_pages" else k), F.col(k))])
+    audit = P.page_audit(c.select("doc_id", counts.alias("counts"), "source_pages"))
+    return audit.select("doc_id", F.col("ocr_consistent").alias("consistent"), F.col("delta_ocr_minus_source").alias("delta"), "status")
 
 
 def page_text(spark, d):

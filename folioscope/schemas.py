@@ -7,5 +7,3 @@ PAGES = f"doc_id string, page_no int, raw_page_no int, blocks array<{BLOCK}>, md
 ARTIFACTS = "doc_id string, kind string, content string"
 PAGE_IMAGES = "doc_id string, page_no int, image_path string, width int, height int"
 NATIVE_TEXT = "doc_id string, page_no int, text string"
-PARSE_LOG = "struct<page_no:int,blocks_found:int,inference_failed:int,skipped_empty_headfoot:int,has_md:boolean,meta_num_blocks:int,missing_children:boolean,chunk_covered:boolean>"
-"""One row of a document's parse: what was found and what was missing on a page."""

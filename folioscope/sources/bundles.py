@@ -53,12 +53,16 @@ def from_buffers(spark: SparkSession, doc_id: str, json, md=None, metadata=None,
 
 
 def from_folders(spark: SparkSession, path: str) -> DataFrame:
-    """artifacts of all documents below path: a folder with an output.json is a document named after the folder.  Any
-    store that Spark reads will do."""
+    """artifacts of all documents below path: a folder with an output.json is a document, named by its way from path (by
+    its own name if it is path).  Any store that Spark reads will do."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "output*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/") + "/"
+    files = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    below = F.when(F.startswith(F.col("folder"), F.lit(root)), F.col("folder").substr(F.lit(len(root) + 1), F.length("folder"))).otherwise(F.element_at(F.split("folder", "/"), -1))
     kinds = F.create_map(*[F.lit(x) for kv in FILES.items() for x in kv])
-    out = files.select(F.element_at(F.split("path", "/"), -2).alias("doc_id"), F.try_element_at(kinds, name).alias("kind"), F.col("content").cast("string").alias("content"))
+    out = files.select(below.alias("doc_id"), F.try_element_at(kinds, name).alias("kind"), F.col("content").cast("string").alias("content"))
     out = out.where("kind is not null")
     return out.join(out.where("kind = 'json'").select("doc_id").distinct(), "doc_id", "left_semi")
 

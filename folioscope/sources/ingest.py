@@ -7,16 +7,16 @@ import io
 import os
 import shutil
 import subprocess
-import tempfile
+import uuid
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..schemas import NATIVE_TEXT, PAGE_IMAGES
+from ..session import shared_dir
 
 TYPES = {"pdf": "pdf", "docx": "docx", "pptx": "pptx", "zip": "zip_images"}
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
@@ -27,13 +27,6 @@ class IngestionError(Exception):
     pass
 
 
-def source_type(path: Column) -> Column:
-    """pdf, docx, pptx, zip_images or unknown, by extension."""
-    ending = F.regexp_extract(F.lower(path), r"\.(pdf|docx|pptx|zip)$", 1)
-    kinds = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    return F.coalesce(F.try_element_at(kinds, ending), F.lit("unknown"))
-
-
 def detect_source_type(path: str) -> str:
     return TYPES.get(path.lower().rpartition(".")[2], "unknown")
 
@@ -111,6 +104,16 @@ def office_to_pdf(path: str, work_dir: str, timeout: int = 180) -> str:
     return os.path.join(work_dir, os.path.splitext(os.path.basename(path))[0] + ".pdf")
 
 
+def _work_dir(spark: SparkSession) -> str:
+    """A new folder below the shared one, if that is a file system's."""
+    shared = shared_dir(spark)
+    if "://" in shared and not shared.startswith("file://"):
+        raise IngestionError("name a work_dir that the executors can read")
+    path = os.path.join(shared.removeprefix("file://"), f"ingest-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
 def ingest(spark: SparkSession, path: str, doc_id: str | None = None, work_dir: str | None = None, dpi: int = 200) -> tuple[str, DataFrame, DataFrame | None]:
     """(source type, page_images, native_text or None) of one local source file."""
     if not os.path.exists(path):
@@ -119,7 +122,7 @@ def ingest(spark: SparkSession, path: str, doc_id: str | None = None, work_dir:
     if kind == "unknown":
         raise IngestionError(f"unsupported file type: {os.path.basename(path)}")
     doc_id = doc_id or os.path.splitext(os.path.basename(path))[0]
-    work_dir = work_dir or tempfile.mkdtemp(prefix="folioscope-ingest-")
+    work_dir = work_dir or _work_dir(spark)
     if kind == "zip_images":
         return kind, spark.createDataFrame(unpack_zip(path, work_dir, doc_id), PAGE_IMAGES), None
     images, texts = render_pdf(office_to_pdf(path, work_dir) if kind in ("docx", "pptx") else path, work_dir, doc_id, dpi)
@@ -135,7 +138,35 @@ def digital_born(native: DataFrame, images: DataFrame) -> DataFrame:
     return native.join(good, "doc_id", "left_semi")
 
 
-def first_native(native: DataFrame) -> DataFrame:
-    """The first text of each page number."""
-    order = W.partitionBy("doc_id", "page_no").orderBy(F.monotonically_increasing_id())
-    return native.withColumn("o", F.row_number().over(order)).where("o = 1").drop("o")
+def save_upload(data: bytes, name: str, folder: str) -> str:
+    """Keep an uploaded file, by its base name, in a folder; its path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, os.path.basename(name))
+    with open(path, "wb") as f:
+        f.write(data)
+    return path
+
+
+def pdf_pages(spark: SparkSession, path: str, dpi: int = 200, glob: str = "*.pdf") -> DataFrame:
+    """doc_id, page_no, png, width, height, text of the pages of each PDF below path, rendered where Spark reads it; a page
+    that fails is empty.  Needs pymupdf on the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    named = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("doc_id"), "content")
+
+    def run(frames):
+        try:
+            import fitz
+        except ImportError as e:
+            raise IngestionError("rendering PDF files needs pymupdf on every executor") from e
+        for f in frames:
+            for r in f.itertuples(index=False):
+                with fitz.open(stream=bytes(r.content), filetype="pdf") as pdf:
+                    for i in range(pdf.page_count):
+                        try:
+                            pix = pdf[i].get_pixmap(dpi=dpi)
+                            page = (pix.tobytes("png"), pix.width, pix.height, pdf[i].get_text())
+                        except Exception:  # noqa: BLE001 - a broken page must not lose the others
+                            page = (None, 0, 0, "")
+                        yield pd.DataFrame([(r.doc_id, i + 1, *page)], columns=["doc_id", "page_no", "png", "width", "height", "text"])
+
+    return named.mapInPandas(run, "doc_id string, page_no int, png binary, width int, height int, text string")

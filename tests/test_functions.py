@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import markup as M
 from folioscope.functions import text as T
 
-TEXTS = ["The (patient [must take “it” don't. 12,5 x l1l1O0 ok!", "", None, "a b c a b c a b c", "Straße qx rnixqk Nemluvio", "Ã©tude â€œx �"]
+TEXTS = ["The (patient [must take “it” don't. 12,5 x l1l1O0 ok!", "", None, "a b c a b c a b c", "Straße qx vrtkxq Nemluvio", "Ã©tude â€œx �"]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def test_lerp(spark):
 
 
 def test_pronounceable(spark):
-    words = ["Nemluvio", "Galderma", "rnixqk", "qwzxfp", "an", "sch", "strength", "aquarium", "boxfx"]
+    words = ["Nemluvio", "Galderma", "vrtkxq", "bdzgxw", "an", "sch", "strength", "aquarium", "boxfx"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").coalesce(1).select(T.is_pronounceable(F.col("w"))).collect()]
     assert got == [True, True, False, False, True, False, False, True, False]
 

@@ -1,3 +1,4 @@
+import csv
 import io
 import json
 import zipfile
@@ -58,8 +59,8 @@ def test_garbled_page_fails_for_the_right_reasons(by_key):
     assert m["IFR"].score == 0 and m["IFR"].hard_fail and m["IFR"].raw_value == 0.25
     assert m["BCC"].hard_fail and "12" in m["BCC"].evidence[0] and m["BCC"].raw_value == 0.6667
     assert m["CED"].hard_fail and m["CED"].score <= 15
-    assert m["XSA"].hard_fail and "×8" in m["XSA"].evidence[0]
-    assert m["HMW"].raw_value == 0.25 and m["HMW"].score == 16.7 and "unclosed <b>" not in m["HMW"].evidence[0]
+    assert m["XSA"].hard_fail and "×9" in m["XSA"].evidence[0]
+    assert m["HMW"].raw_value == 0.25 and m["HMW"].score == 16.7 and "unclosed <i>" not in m["HMW"].evidence[0]
     assert m["TSI"].score < 80 and not m["TSI"].hard_fail
     assert set(m["row"].hard_keys) >= {"IFR", "BCC", "CED", "XSA"}
     kinds = {x.kind for k in KEYS for x in m[k].locations}
@@ -98,7 +99,21 @@ def test_package(report, tmp_path):
         scores = [p["PQS"] for p in payload["faulty_pages"]]
         assert scores == sorted(scores)
         assert z.read("review.csv").decode().startswith("page_no,PQS,problem_1,problem_2,problem_3\r\n")
-        assert "### Faults on this page" in z.read("review.md").decode()
+        text = z.read("review.md").decode()
+        assert text.startswith("# ") and text.count("### Faults on this page") == 2 and text.index("### Metric detail") < text.rindex("## Page ")
+        rows = list(csv.reader(io.StringIO(z.read("review.csv").decode())))
+        first = report.pages.where("doc_id = 'bad'").orderBy("page_score").first()
+        assert rows[1] == [str(first.page_no), f"{first.page_score:.1f}", *(list(first.problems) + ["", "", ""])[:3]] and len(rows) == 3
+        found = payload["faulty_pages"][0]["metrics"][0]
+        assert found["key"] == "IFR" and set(found) == set(K.METRIC_FIELDS)
+    with pytest.raises(KeyError):
+        K.build_package(report.pages, report.documents, "none", str(tmp_path / "none.zip"))
+    image = tmp_path / "scan 2.png"
+    image.write_bytes(b"png")
+    shown = report.pages.withColumn("image_path", F.when(F.col("page_no") == 2, str(image)).otherwise(str(tmp_path / "lost.png")))
+    with zipfile.ZipFile(K.build_package(shown, report.documents, "bad", str(tmp_path / "images.zip"))) as z:
+        assert "pages/scan 2.png" in z.namelist() and z.read("review.md").decode().count("](pages/") == 1
+        assert [p["image"] for p in sorted(json.loads(z.read("review.json"))["faulty_pages"], key=lambda p: p["page_no"])] == [None, "scan 2.png"]
     assert K.send_for_review(path)["status"] == "not_sent"
     K.write_reports(report.pages, report.documents, str(tmp_path / "tables"))
     assert report.pages.sparkSession.read.parquet(str(tmp_path / "tables" / "documents")).count() == 2
@@ -113,9 +128,9 @@ def test_views(report):
     images = report.pages.select("doc_id", "page_no", F.lit(500).alias("width"), F.lit(700).alias("height"))
     box = V.scaled_boxes(report.pages, boxes, images).where("kind = 'inference_failed'").first().box
     assert box == [50.0, 50.0, 450.0, 125.0]
-    texts = report.pages.select("doc_id", "page_no", F.lit("<the> patient RNIXQK").alias("text"))
+    texts = report.pages.select("doc_id", "page_no", F.lit(f"<the> quay {fixtures.ODD.upper()}").alias("text"))
     marked = V.highlighted(report.pages, texts).where("doc_id = 'bad' and page_no = 1").first().html
-    assert "<mark>RNIXQK</mark>" in marked and "&lt;the&gt;" in marked
+    assert f"<mark>{fixtures.ODD.upper()}</mark>" in marked and "&lt;the&gt;" in marked
 
 
 def test_config():
