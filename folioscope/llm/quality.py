@@ -3,8 +3,8 @@
 A document is the average of the learned vectors of its features, hashed to a fixed number of rows: each word, the
 character n-grams of each word between word marks, and one shared feature for a word that repeats the one before it
 (the word bigram of equal words).  A softmax over two outputs reads that average.  Vectors and outputs are trained
-together by stochastic gradient descent in numpy on a bounded sample of labelled documents (`TRAIN_ROWS` a class,
-`TRAIN_CHARS` characters a class).  Scoring needs no vectors: the margin is linear in the average, so each row of the
+together by stochastic gradient descent in numpy on a bounded sample of labelled documents (`TRAIN_ROWS` a
+class).  Scoring needs no vectors: the margin is linear in the average, so each row of the
 table becomes one number, and each distinct word of a batch is looked up once.
 
 Defined results: null and empty texts have no features and score by the bias alone; without labelled rows of both
@@ -31,8 +31,7 @@ NGRAMS = (2, 3, 4)
 EPOCHS = 12
 BATCH = 32
 RATE = 0.6
-TRAIN_ROWS = 1200
-TRAIN_CHARS = 2_500_000
+TRAIN_ROWS = 1000
 THRESHOLD = 0.3
 MOD, HELD_OUT = 5, 0
 
@@ -131,8 +130,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, pri
     return Model((vectors @ delta).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    sample = labelled_sample(docs, labels, "quality", MOD, HELD_OUT, rows, chars)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    sample = labelled_sample(docs, labels, "quality", MOD, HELD_OUT, rows)
     got = sample.orderBy("doc_id").toArrow()
     share = labels.where(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), MOD) != HELD_OUT)).agg(F.avg("quality")).first()[0]
     y = np.asarray(got["label"].combine_chunks()).astype(np.int64) if got.num_rows else np.zeros(0, dtype=np.int64)

@@ -29,7 +29,10 @@ def default_path() -> str:
 def load(path: str):
     """The tokenizer, and for each id whether it ends a pre-token (None if the vocabulary does not mark that)."""
     import json
+    import os
 
+    # a task has one core; threads of the library would each keep memory of their own
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)

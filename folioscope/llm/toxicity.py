@@ -8,7 +8,7 @@ difference of any run of `WINDOW` words; a logistic of both, fitted on a third o
 see, gives the score.  As the backoff is shared, characters whose context neither class has seen differ by exactly 0, so
 two tables hold the whole comparison: of seen n-grams, and of seen contexts (for other characters after them).
 
-Models are fitted on a bounded sample of labelled documents (`TRAIN_ROWS` a class, `TRAIN_CHARS` characters a class).
+Models are fitted on a bounded sample of labelled documents (`TRAIN_ROWS` a class).
 
 Defined results: null and empty texts have no evidence (0, 0); without labelled rows of both classes every score is 0
 (1 if all are toxic); repeated rows score alike; an empty table gives an empty result.  Only doc_id and text are read;
@@ -34,8 +34,7 @@ DISCOUNT = 0.75
 WINDOW = 2
 #: Runs count as at least so many characters, so that one short odd word is weak evidence.
 LEAST_CHARS = 12
-TRAIN_ROWS = 1200
-TRAIN_CHARS = 2_500_000
+TRAIN_ROWS = 1000
 THRESHOLD = 0.3
 MOD, HELD_OUT = 4, 2
 
@@ -213,8 +212,8 @@ def probabilities(text: pa.Array, model: Model | float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.logistic[0] + x @ model.logistic[1:], -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | float:
-    sample = labelled_sample(docs, labels, "toxic", MOD, HELD_OUT, rows, chars)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | float:
+    sample = labelled_sample(docs, labels, "toxic", MOD, HELD_OUT, rows)
     got = sample.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     share = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), MOD) != HELD_OUT)).agg(F.avg("toxic")).first()[0]
     if not got.num_rows:
