@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -65,6 +66,15 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: str, at: str, n: str,
     return rest.join(cold, F.col(on) == F.col(at)).unionByName(rows.join(few, F.col(on) == F.col(at)))
 
 
+def give_back() -> None:
+    """Return memory that a finished computation freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, encode_words, pieces, segment_sums, table
+from .common import crc_mod, encode_words, give_back, pieces, segment_sums, table
 from .labelled import labelled_sample
 from .subwords import codepoints, mix64, windows
 
@@ -31,7 +31,7 @@ NGRAMS = (2, 3, 4)
 EPOCHS = 12
 BATCH = 32
 RATE = 0.6
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 800
 THRESHOLD = 0.3
 MOD, HELD_OUT = 5, 0
 
@@ -77,6 +77,12 @@ def margins(text: pa.Array, model: Model) -> np.ndarray:
     return model.bias + total / np.maximum(n, 1)
 
 
+def sample_features(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features of the documents of a sample, a slice of about a megabyte of text at a time."""
+    at = sample.schema.names.index("text")
+    return [f for b in sample.to_batches() for piece in pieces(b, at, 1 << 20) for f in document_features(piece.column(at))]
+
+
 def document_features(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct rows and their shares of each document."""
     out = []
@@ -135,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     got = sample.orderBy("doc_id").toArrow()
     share = labels.where(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), MOD) != HELD_OUT)).agg(F.avg("quality")).first()[0]
     y = np.asarray(got["label"].combine_chunks()).astype(np.int64) if got.num_rows else np.zeros(0, dtype=np.int64)
-    return train(document_features(got["text"]) if got.num_rows else [], y, 0.5 if share is None else float(share))
+    model = train(sample_features(got) if got.num_rows else [], y, 0.5 if share is None else float(share))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -30,12 +30,12 @@ def codepoints(words: pa.Array, left: int, right: int) -> tuple[np.ndarray, np.n
 def windows(cp: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all n-grams that lie within one word, and the index of the word of each."""
     if len(cp) < n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
     m = len(cp) - n + 1
     h = np.full(m, n, dtype=np.uint64)
     for k in range(n):
         h = (h ^ cp[k : k + m]) * _MULT
         h ^= h >> np.uint64(29)
-    word = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:m]
-    inside = np.arange(m) + n <= starts[word + 1]
+    word = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))[:m]
+    inside = np.arange(m) + n <= starts[1:][word]
     return mix64(h[inside]), word[inside]

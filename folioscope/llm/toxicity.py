@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, encode_words, pieces, segment_sums, table
+from .common import crc_mod, encode_words, give_back, pieces, segment_sums, table
 from .labelled import labelled_sample
 from .subwords import codepoints, windows
 
@@ -71,18 +71,19 @@ class Grams:
     """n-grams of all orders of the words of some documents, with how often each word occurs."""
 
     def __init__(self, words: pa.Array, occurs: np.ndarray):
-        cp, starts = codepoints(words, ORDER - 1, 1)
-        self.by_order, self.times = {}, {}
-        for n in range(1, ORDER + 1):
-            h, w = windows(cp, starts, n)
-            self.by_order[n], self.times[n] = h, occurs[w]
-        # windows of order n end one character after windows of order n - 1 that begin with them
-        self.inside = {n: _prefix(starts, n) for n in range(1, ORDER + 1)}
+        self.cp, self.starts = codepoints(words, ORDER - 1, 1)
+        self.cp = self.cp.astype(np.uint32)
+        self.occurs = occurs
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-grams, and the word of each."""
+        return windows(self.cp, self.starts, n)
 
     def pairs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each n-gram: its hash, its context's (the first n - 1), its suffix's (the last n - 1)."""
-        lower = self.by_order[n - 1]
-        return self.by_order[n], lower[self.inside[n]], lower[self.inside[n] + 1]
+        """Of each n-gram: its hash, its context's (the first n - 1), its suffix's (the last n - 1).  Windows of order n
+        end one character after windows of order n - 1 that begin with them."""
+        lower, at = self.of(n - 1)[0], _prefix(self.starts, n)
+        return self.of(n)[0], lower[at], lower[at + 1]
 
 
 def _prefix(starts: np.ndarray, n: int) -> np.ndarray:
@@ -100,10 +101,10 @@ def kneser_ney(ordinary: Grams, toxic: Grams) -> tuple[Counts, Counts]:
     # shared lower orders: continuation counts, that is distinct left neighbours, of both classes together
     shared: Counts | None = None
     for n in range(1, ORDER):
-        up = [g.pairs(n + 1) for g in both]
-        kinds, at = np.unique(np.concatenate([u[0] for u in up]), return_index=True)
-        low = np.concatenate([u[2] for u in up])[at]
-        cont = tally(low)
+        up = [g.pairs(n + 1)[::2] for g in both]
+        at = np.unique(np.concatenate([u[0] for u in up]), return_index=True)[1]
+        cont = tally(np.concatenate([u[1] for u in up])[at])
+        del up, at
         if n == 1:
             total = cont.value.sum()
             shared = Counts(cont.key, (np.maximum(cont.value - DISCOUNT, 0) + DISCOUNT * len(cont.key) / (len(cont.key) + 1)) / max(total, 1))
@@ -122,10 +123,12 @@ def kneser_ney(ordinary: Grams, toxic: Grams) -> tuple[Counts, Counts]:
     below = shared.get(suffix, 1e-6)
     logs, backoffs = [], []
     all_contexts = np.unique(context)
-    for g, ctx in zip(both, contexts, strict=True):
-        count = tally(g.by_order[ORDER], g.times[ORDER])
-        mass = tally(ctx, g.times[ORDER])
-        seen, at = np.unique(g.by_order[ORDER], return_index=True)
+    del suffixes
+    for g, gram, ctx in zip(both, grams, contexts, strict=True):
+        times = g.occurs[g.of(ORDER)[1]]
+        count = tally(gram, times)
+        mass = tally(ctx, times)
+        at = np.unique(gram, return_index=True)[1]
         kinds = tally(ctx[at])
         lam = Counts(all_contexts, np.where(mass.get(all_contexts) > 0, DISCOUNT * kinds.get(all_contexts) / np.maximum(mass.get(all_contexts), 1), 1.0))
         p = np.maximum(count.get(u) - DISCOUNT, 0) / np.maximum(mass.get(context), 1) + lam.get(context, 1.0) * below
@@ -201,7 +204,8 @@ def train(text: pa.Array, labels: np.ndarray, share: float) -> Model | float:
     rest = np.flatnonzero(~fit_on) if len(np.unique(labels[~fit_on])) == 2 else np.arange(len(labels))
     y = labels[rest].astype(np.float64)
     part = y.mean()
-    b = logistic(evidence(text.take(pa.array(rest)), gram, context), y, np.where(y == 1, share / part, (1 - share) / (1 - part)))
+    seen = [evidence(text.take(pa.array(rest[k : k + 64])), gram, context) for k in range(0, len(rest), 64)]
+    b = logistic(np.concatenate(seen), y, np.where(y == 1, share / part, (1 - share) / (1 - part)))
     return Model(gram, context, b)
 
 
@@ -218,7 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | f
     share = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), MOD) != HELD_OUT)).agg(F.avg("toxic")).first()[0]
     if not got.num_rows:
         return 0.0
-    return train(got["text"].combine_chunks(), np.asarray(got["label"].combine_chunks()).astype(np.int64), float(share))
+    model = train(got["text"].combine_chunks(), np.asarray(got["label"].combine_chunks()).astype(np.int64), float(share))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
