@@ -6,6 +6,7 @@ Nothing here shuffles; what a metric needs of the document or of other relations
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -386,6 +387,10 @@ REGISTRY = {"IFR": ifr, "BCC": bcc, "BGC": bgc, "HMW": hmw, "TSI": tsi, "LVR": l
 assert list(REGISTRY) == KEYS
 
 
+#: Columns that features are made of and metrics do not read.
+SOURCES = ["text", "prose", "body", "md_text", "html_text", "html_plain", "native_text", "chunk_text"]
+
+
 def features(pages: DataFrame, config: Config, lexicon: DataFrame | None = None) -> DataFrame:
     """pages with everything that metrics read: texts and tokens, language, document medians and fluency bounds, unknown
     words, repeated runs, and agreement with other sources.  Pages with their texts and tokens are written once; each
@@ -397,43 +402,60 @@ def features(pages: DataFrame, config: Config, lexicon: DataFrame | None = None)
     median = C.median_blocks(p)
     p = p.join(C.invalid_tokens(p, lexicon), C.PAGE, "left").join(fluency, C.PAGE, "left").join(C.top_ngrams(p, config.xsa_repeat_ngram), C.PAGE, "left")
     p = p.join(median, "doc_id", "left").join(bounds, "doc_id", "left")
+    first, then = _once("features", config, _feature_columns)
+    return p.withColumns(first).withColumns(then)
+
+
+#: Expressions by what they are, session and configuration: building thousands of them takes longer than a small run.
+_built: dict[tuple, object] = {}
+
+
+def _once(what: str, config: Config, build):
+    key = (what, id(SparkContext._active_spark_context), repr(config))
+    if key not in _built:
+        _built[key] = build(config)
+    return _built[key]
+
+
+def _feature_columns(config: Config) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What a page's own columns give, in two steps."""
     body = F.when(F.col("prose") != "", F.col("prose")).otherwise(F.col("text"))
-    p = p.withColumns({"no_prose": T.is_blank(F.col("prose")), "body": body, "html_plain": T.normalize(T.strip_html(F.col("html_text")))})
+    first = {"no_prose": T.is_blank(F.col("prose")), "body": body, "html_plain": T.normalize(T.strip_html(F.col("html_text")))}
     shapes = word_shapes(F.col("raw_words"), config.l_max_token)
     punct = punctuation_parts(F.col("prose"), F.col("words"))
-    p = p.withColumns(
-        {
-            "low": (F.size("words") < config.short_page_token_floor) | (T.nz(F.col("language")) == ""),
-            "kl": T.kl_divergence(F.col("prose"), F.col("language")),
-            "entropy": T.shannon_entropy(F.col("prose")),
-            "odd": T.odd_letters(F.col("prose"), F.col("language")),
-            "stop_n": stopword_count(F.col("words"), stopword_language(F.col("language"))),
-            "diversity": F.struct(*[v.alias(k) for k, v in ttr_parts(F.col("words")).items()]),
-            "judged": F.filter(F.transform(F.filter("blocks", lambda b: T.nz(b["html"]).contains("<")), lambda b: F.struct(b.alias("b"), M.malformed(b["html"]).alias("why"))), lambda x: x["why"].isNotNull()),
-            "mojibake": T.mojibake_hits(F.col("prose")),
-            "shapes": F.struct(*[v.alias(k) for k, v in shapes.items()]),
-            "punct": F.struct(*[v.alias(k) for k, v in punct.items()]),
-            "tables": M.analyze_tables(F.transform(F.filter("blocks", lambda b: b["is_table"]), lambda b: T.nz(b["html"]))),
-            "trigram_rep": T.trigram_repetition(F.col("body")),
-            "gzip_ratio": M.gzip_ratio(F.col("body")),
-            "md_recall": T.text_recall(F.col("text"), F.col("md_text")),
-            "chunk_recall": T.text_recall(F.col("body"), F.col("chunk_text")),
-            "cer": T.character_error_rate(F.col("native_text"), F.col("body")),
-            "wer": T.word_error_rate(F.col("native_text"), F.col("body")),
-            "html_similarity": M.sequence_similarity(T.normalize(F.col("text")), F.when(~T.is_blank(F.col("html_text")), F.col("html_plain"))),
-        }
-    )
-    return p
+    then = {
+        "low": (F.size("words") < config.short_page_token_floor) | (T.nz(F.col("language")) == ""),
+        "kl": T.kl_divergence(F.col("prose"), F.col("language")),
+        "entropy": T.shannon_entropy(F.col("prose")),
+        "odd": T.odd_letters(F.col("prose"), F.col("language")),
+        "stop_n": stopword_count(F.col("words"), stopword_language(F.col("language"))),
+        "diversity": F.struct(*[v.alias(k) for k, v in ttr_parts(F.col("words")).items()]),
+        "judged": F.filter(F.transform(F.filter("blocks", lambda b: T.nz(b["html"]).contains("<")), lambda b: F.struct(b.alias("b"), M.malformed(b["html"]).alias("why"))), lambda x: x["why"].isNotNull()),
+        "mojibake": T.mojibake_hits(F.col("prose")),
+        "shapes": F.struct(*[v.alias(k) for k, v in shapes.items()]),
+        "punct": F.struct(*[v.alias(k) for k, v in punct.items()]),
+        "tables": M.analyze_tables(F.transform(F.filter("blocks", lambda b: b["is_table"]), lambda b: T.nz(b["html"]))),
+        "trigram_rep": T.trigram_repetition(F.col("body")),
+        "gzip_ratio": M.gzip_ratio(F.col("body")),
+        "md_recall": T.text_recall(F.col("text"), F.col("md_text")),
+        "chunk_recall": T.text_recall(F.col("body"), F.col("chunk_text")),
+        "cer": T.character_error_rate(F.col("native_text"), F.col("body")),
+        "wer": T.word_error_rate(F.col("native_text"), F.col("body")),
+        "html_similarity": M.sequence_similarity(T.normalize(F.col("text")), F.when(~T.is_blank(F.col("html_text")), F.col("html_plain"))),
+    }
+    return first, then
+
+
+def _metric_array(config: Config) -> Column:
+    return F.array(*[build(config) for build in REGISTRY.values()]).alias("metrics")
 
 
 def page_metrics(pages: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """doc_id, page_no, image_path, token_count, blocks, metrics: the fourteen results of each page in order."""
-    f = features(pages, config, lexicon)
-    return f.select("doc_id", "page_no", "image_path", F.size("words").cast("long").alias("token_count"), F.array(*[build(config) for build in REGISTRY.values()]).alias("metrics"))
+    f = held(features(pages, config, lexicon).drop(*SOURCES), "features")  # two plans of half the size compile far sooner
+    return f.select("doc_id", "page_no", "image_path", F.size("words").cast("long").alias("token_count"), _once("metrics", config, _metric_array))
 
 
 def metric_rows(metrics: DataFrame) -> DataFrame:
     """One row a metric."""
     return metrics.select("doc_id", "page_no", F.explode("metrics").alias("m")).select("doc_id", "page_no", "m.*")
-
-

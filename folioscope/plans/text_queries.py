@@ -218,9 +218,15 @@ def mojibake_hits(spark, d):
     return docs(spark, d).select("doc_id", LONG(F.size(hits)).alias("n_hits"), (F.size(hits) >= 3).alias("hard"))
 
 
-MOJIBAKE_SQL = r"""
+def hits_sql(t: str) -> str:
+    odd = r"\x{FFFD}|Ã[\x{80}-\x{BF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ]|Â[\x{A0}-\x{BF}]|â€[\x{9C}\x{9D}\x{99}™œ“”˜]|â€"
+    control = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\p{Cf}]"
+    return f"len(regexp_extract_all({t}, '{odd}')) + len(regexp_extract_all({t}, '{control}'))"
+
+
+MOJIBAKE_SQL = f"""
 WITH b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, 'é', 'Ã©') WHEN 1 THEN text || ' â€œx' || chr(65533) || ' a' || chr(173) || 'b' ELSE text END AS t FROM documents),
-h AS (SELECT doc_id, len(regexp_extract_all(t, '\x{FFFD}|Ã[\x{80}-\x{BF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ]|Â[\x{A0}-\x{BF}]|â€[\x{9C}\x{9D}\x{99}™œ“”˜]|â€')) + len(regexp_extract_all(t, '[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\p{Cf}]')) AS n FROM b)
+h AS (SELECT doc_id, {hits_sql('t')} AS n FROM b)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_hits, coalesce(n, 0) >= 3 AS hard FROM h
 """
 
@@ -311,8 +317,7 @@ def _norm_sql(t: str) -> str:
     return f"' ' || regexp_replace(lower({strip_sql(t)}), '{SPACE_SQL}+', ' ', 'g') || ' '"
 
 
-_TRI = f"""
-WITH {TURNS},
+_TRI_CTES = f"""
 units AS (SELECT doc_id, page_no, -1 AS pos, text AS u FROM turns WHERE {strip_sql('text')} <> ''
   UNION ALL SELECT doc_id, page_no, unnest(range(len(ss))) AS pos, unnest(ss) AS u FROM (SELECT doc_id, page_no, {sentences_sql('text')} AS ss FROM turns)),
 prep AS (SELECT doc_id, page_no, pos, {_norm_sql('u')} AS t FROM units),
@@ -323,14 +328,20 @@ v AS (SELECT doc_id, count(DISTINCT ch) AS v FROM (SELECT doc_id, unnest(string_
 scored AS (SELECT tri.doc_id, page_no, pos, avg(-log2((coalesce(c3, 0) + 0.1::DOUBLE) / (coalesce(c2, 0) + 0.1::DOUBLE * v))) AS s
   FROM tri JOIN v USING (doc_id) LEFT JOIN c3 ON c3.doc_id = tri.doc_id AND c3.g = tri.g LEFT JOIN c2 ON c2.doc_id = tri.doc_id AND c2.ctx = substr(tri.g, 1, 2) GROUP BY ALL)
 """
-SURPRISAL_SQL = _TRI + "SELECT doc_id, page_no, round(s, 6) AS surprisal FROM scored WHERE pos = -1"
-BOUNDS_SQL = (
-    _TRI
-    + """, l AS (SELECT doc_id, list(s ORDER BY s) AS xs, count(*) AS n FROM scored WHERE pos = -1 AND s > 0 GROUP BY doc_id),
-b AS (SELECT doc_id, n, xs[1 + greatest(0, floor(0.25 * n)::BIGINT - 1)] AS lo, xs[1 + least(n - 1, floor(0.9 * n)::BIGINT)] AS hi, xs[1 + n // 2] AS mid FROM l)
-SELECT doc_id, round(CASE WHEN n >= 4 THEN lo ELSE mid END, 6) AS ppl_good, round(CASE WHEN n >= 4 THEN greatest(hi, lo * 1.5 + 0.5) ELSE mid * 1.8::DOUBLE + 0.8::DOUBLE END, 6) AS ppl_bad FROM b
+_TRI = f"WITH {TURNS},{_TRI_CTES}"
+_BOUNDS_CTES = """, l AS (SELECT doc_id, list(s ORDER BY s) AS xs, count(*) AS n FROM scored WHERE pos = -1 AND s > 0 GROUP BY doc_id),
+b AS (SELECT doc_id, n, xs[1 + greatest(0, floor(0.25 * n)::BIGINT - 1)] AS lo, xs[1 + least(n - 1, floor(0.9 * n)::BIGINT)] AS hi, xs[1 + n // 2] AS mid FROM l),
+bounds_ AS (SELECT doc_id, CASE WHEN n >= 4 THEN lo ELSE mid END AS ppl_good, CASE WHEN n >= 4 THEN greatest(hi, lo * 1.5 + 0.5) ELSE mid * 1.8::DOUBLE + 0.8::DOUBLE END AS ppl_bad FROM b)
 """
-)
+
+
+def _surprisal_sql(what: str) -> str:
+    """Page and sentence surprisal, or the bounds of documents, of whatever `turns` is in scope."""
+    return f"WITH {_TRI_CTES}{_BOUNDS_CTES} SELECT * FROM " + ("scored" if what == "scored" else "bounds_")
+
+
+SURPRISAL_SQL = _TRI + "SELECT doc_id, page_no, round(s, 6) AS surprisal FROM scored WHERE pos = -1"
+BOUNDS_SQL = f"{_TRI}{_BOUNDS_CTES} SELECT doc_id, round(ppl_good, 6) AS ppl_good, round(ppl_bad, 6) AS ppl_bad FROM bounds_"
 WORST_SQL = _TRI + ", r AS (SELECT doc_id, page_no, s, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY s DESC, pos) AS rank FROM scored WHERE pos >= 0) SELECT doc_id, page_no, rank, round(s, 5) AS bits FROM r WHERE rank <= 3"
 
 
@@ -392,6 +403,43 @@ m AS (SELECT source, lang AS mode, row_number() OVER (PARTITION BY source ORDER
 SELECT p.source AS doc_id, p.doc_id AS page_no, coalesce(lang, mode) AS language FROM p LEFT JOIN m ON m.source = p.source AND k = 1
 """
 
+def engine_metrics(spark, d):
+    """What the engine itself gives each conversation page, by metric, for the metrics that SQL can follow to the score.
+    Every third document has decoding artefacts put into its pages."""
+    broken = F.when(F.col("doc_id") % 3 == 0, F.concat(F.replace("text", F.lit("e"), F.lit("Ã©")), F.lit(" â€œx"))).otherwise(F.col("text"))
+    rows = turns(spark, d).withColumn("text", broken).withColumn("language", F.lit("en"))
+    found = X.metric_rows(X.page_metrics(from_texts(rows)))
+    page = F.col("doc_id").cast("long") * 1000 + F.col("page_no")
+    return found.where(F.col("applicable") & F.col("key").isin(*ENGINE_KEYS)).select(LONG(page).alias("page"), "key", "raw_value", "score", "status", "hard_fail")
+
+
+ENGINE_KEYS = ["IFR", "BCC", "LVR", "OOV", "SFC", "CED", "PPL", "TTR", "WSA"]
+_BROKEN = """turns AS (SELECT conv_id AS doc_id, turn + 1 AS page_no, role, CASE WHEN conv_id % 3 = 0 THEN replace(coalesce(text, ''), 'e', 'Ã©') || ' â€œx' ELSE coalesce(text, '') END AS text FROM conversations)"""
+ENGINE_SQL = rf"""
+WITH {_BROKEN}, documents AS (SELECT doc_id * 1000 + page_no AS doc_id, text, 'en' AS lang FROM turns),
+full_ AS (SELECT doc_id, text FROM documents WHERE {strip_sql('text')} <> ''),
+lex AS ({LEX_SQL}), tri AS ({_surprisal_sql('scored')}), bounds AS ({_surprisal_sql('b')}),
+kl AS ({KL_SQL}), k AS (SELECT doc_id, kl, {hits_sql('text')} AS n FROM full_ JOIN kl USING (doc_id)),
+ced AS (SELECT doc_id, kl, n, {lerp_sql('kl', 0.15, 1.5)} AS s FROM k),
+c2 AS (SELECT doc_id, kl, n, CASE WHEN n > 0 THEN least(s, greatest(0.0, 60.0 - n * 15.0)) ELSE s END AS s FROM ced),
+ppl AS (SELECT tri.doc_id * 1000 + page_no AS page, s, ppl_good AS lo, ppl_bad AS hi FROM tri JOIN bounds USING (doc_id) WHERE pos = -1),
+blocks AS (SELECT doc_id * 1000 + page_no AS page, doc_id, CASE WHEN {strip_sql('text')} <> '' THEN 1 ELSE 0 END AS n FROM turns),
+filled AS (SELECT doc_id FROM blocks GROUP BY doc_id HAVING max(n) = 1),
+wsa AS ({WSA_SQL}), raw AS (SELECT doc_id, len(regexp_extract_all(text, '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+')) AS n FROM documents),
+every AS (
+  SELECT doc_id AS page, 'IFR' AS key, 0.0::DOUBLE AS raw, 100.0::DOUBLE AS score, false AS hard FROM full_
+  UNION ALL SELECT page, 'BCC', (1 - n)::DOUBLE, CASE WHEN n = 1 THEN 100.0 ELSE 40.0 END, false FROM blocks JOIN filled USING (doc_id)
+  UNION ALL SELECT page_no, 'LVR', ratio, score, ratio < 0.80 FROM (SELECT page_no, (n_countable - n_bad) / n_countable AS ratio, score FROM lex)
+  UNION ALL SELECT doc_id, 'OOV', coalesce(n_gibberish / nullif(n_bad, 0), 0.0), CASE WHEN coalesce(n_bad, 0) = 0 THEN 100.0 ELSE {lerp_sql('n_gibberish / n_bad', 0.0, 0.5)} END, false FROM documents LEFT JOIN lex ON page_no = doc_id
+  UNION ALL SELECT doc_id, 'SFC', raw, score, false FROM ({SFC_SQL})
+  UNION ALL SELECT doc_id, 'CED', kl, CASE WHEN n >= 3 THEN least(s, 15.0) ELSE s END, n >= 3 FROM c2
+  UNION ALL SELECT page, 'PPL', s, round(CASE WHEN hi = lo THEN CASE WHEN s = lo THEN 100.0 ELSE 0.0 END ELSE (1.0 - greatest(0.0, least(1.0, (s - lo) / (hi - lo)))) * 100.0 END, 1), false FROM ppl
+  UNION ALL SELECT doc_id, 'TTR', ttr, score, false FROM ({TTR_SQL})
+  UNION ALL SELECT doc_id, 'WSA', (n_merged + n_single + n_hyphen + n_alnum) / raw.n, score, false FROM wsa JOIN raw USING (doc_id)
+)
+SELECT page, key, round(raw::DOUBLE, 4) AS raw_value, round(score::DOUBLE, 1) AS score, CASE WHEN round(score::DOUBLE, 1) >= 70 THEN 'good' WHEN round(score::DOUBLE, 1) >= 50 THEN 'warn' ELSE 'bad' END AS status, hard AS hard_fail FROM every
+"""
+
 STRIP_SQL = r"""
 WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', '"') AS t FROM a),
@@ -435,6 +483,7 @@ QUERIES = {
     "error_rates": error_rates,
     "html_similarity": html_similarity,
     "language_mode": language_mode,
+    "engine_metrics": engine_metrics,
 }
 SQL = {
     "word_token_counts": f"WITH w AS (SELECT doc_id, {words_sql('text')} AS ws FROM documents) SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(list_distinct([lower(x) FOR x IN ws])) AS BIGINT) AS n_types, coalesce(ws[1], '') AS first_word FROM w",
@@ -461,4 +510,5 @@ SQL = {
     "word_recall": RECALL_SQL,
     "character_error": CER_ONLY_SQL,
     "language_mode": LANG_SQL,
+    "engine_metrics": ENGINE_SQL,
 }
