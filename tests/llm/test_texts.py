@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -68,13 +69,72 @@ def test_held_out_labels_are_not_used(spark, labels, odd_docs):
     assert np.allclose(a.weight, b.weight) and a.bias == b.bias
 
 
-def test_kneser_ney_shares_sum_to_one():
-    """The ratio tables come from proper distributions: over all characters that a context has been followed by and the
-    rest, both classes' probabilities sum to one, so neither ratio can favour a class throughout."""
-    text = pa.array(["abab abba", "abac acab"])
-    gram, context = toxicity.kneser_ney(toxicity.grams_of(text.slice(0, 1)), toxicity.grams_of(text.slice(1, 1)))
-    assert len(gram.key) and np.isfinite(gram.value).all() and np.isfinite(context.value).all()
-    assert (gram.value > 0).any() and (gram.value < 0).any()
+def brute_kneser_ney(classes):
+    """Log ratio (second class to first) of every seen 5-gram and of every seen context, with dictionaries of strings."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    grams = [{n: collections.Counter() for n in range(1, order + 1)} for _ in classes]
+    for found, texts in zip(grams, classes):
+        for w in " ".join(texts).split():
+            p = "\x01" * (order - 1) + w + "\x02"
+            for n in range(1, order + 1):
+                found[n].update(p[i : i + n] for i in range(len(p) - n + 1))
+    shared = {}
+    for n in range(1, order):
+        kinds = collections.Counter(g[1:] for g in set(grams[0][n + 1]) | set(grams[1][n + 1]))
+        if n == 1:
+            total, t = sum(kinds.values()), len(kinds)
+            shared[1] = {g: (max(c - d, 0) + d * t / (t + 1)) / total for g, c in kinds.items()}
+            continue
+        every = set(grams[0][n]) | set(grams[1][n])
+        mass, kept = collections.Counter(), collections.Counter()
+        for g in every:
+            mass[g[:-1]] += kinds[g]
+            kept[g[:-1]] += kinds[g] > 0
+        shared[n] = {}
+        for g in every:
+            m = max(mass[g[:-1]], 1e-9)
+            below = shared[n - 1].get(g[1:], 1e-6)
+            shared[n][g] = max(max(kinds[g] - d, 0) / m + min(d * kept[g[:-1]] / m, 1) * below, 1e-12)
+    every = sorted(set(grams[0][order]) | set(grams[1][order]))
+    logs, backoffs = [], []
+    for found in grams:
+        count, mass = found[order], collections.Counter()
+        for g, c in count.items():
+            mass[g[:-1]] += c
+        lam = {h: d * sum(g[:-1] == h for g in count) / mass[h] if mass[h] else 1.0 for h in {g[:-1] for g in every}}
+        for h, m in mass.items():  # what is discounted is what backs off: a distribution
+            assert abs(sum(max(c - d, 0) for g, c in count.items() if g[:-1] == h) / m + lam[h] - 1) < 1e-9
+        logs.append({g: math.log(max(count[g] - d, 0) / max(mass[g[:-1]], 1) + lam[g[:-1]] * shared[order - 1].get(g[1:], 1e-6)) for g in every})
+        backoffs.append({h: math.log(x) for h, x in lam.items()})
+    return {g: logs[1][g] - logs[0][g] for g in every}, {h: backoffs[1][h] - backoffs[0][h] for h in backoffs[0]}
+
+
+def test_kneser_ney_against_dictionaries():
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 6))) for _ in range(60)) for _ in range(4)]
+    classes = texts[:2], [*texts[2:], texts[0][:40]]
+    want_gram, want_context = brute_kneser_ney(classes)
+    gram, context = toxicity.kneser_ney(*[toxicity.grams_of(pa.array(x)) for x in classes])
+    seen = 0
+    for w in sorted({w for x in classes for t in x for w in t.split()}):
+        cp, starts = subwords.codepoints(pa.array([w]), toxicity.ORDER - 1, 1)
+        p = "\x01" * (toxicity.ORDER - 1) + w + "\x02"
+        for table, wanted, n in ((gram, want_gram, toxicity.ORDER), (context, want_context, toxicity.ORDER - 1)):
+            keys, _ = subwords.windows(cp, starts, n)
+            for i, got in enumerate(table.get(keys, math.nan)):
+                if p[i : i + n] in wanted:
+                    assert abs(got - wanted[p[i : i + n]]) < 1e-9
+                    seen += 1
+    assert seen > 300 and len(gram.key) == len(want_gram) and len(context.key) == len(want_context)
+
+
+@pytest.mark.parametrize("op,label,precision,recall", [(quality.op1_quality, "quality", 0.97, 0.97), (toxicity.op10_toxicity, "toxic", 0.8, 0.65)])
+def test_held_out_quality_on_real_labels(spark, op, label, precision, recall):
+    d = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{d}/labels.parquet").where(f"{label} is not null").selectExpr("doc_id", f"{label} as y")
+    rows = op(spark, d).where("held_out").join(truth, "doc_id").select("predicted", "y").collect()
+    hit = sum(r.predicted and r.y for r in rows)
+    assert len(rows) > 500 and hit / sum(r.predicted for r in rows) > precision and hit / sum(r.y for r in rows) > recall
 
 
 def brute_lm(rows):
@@ -104,14 +164,34 @@ def test_lm(spark, odd_docs, no_docs, monkeypatch):
     assert lm.score(no_docs).count() == 0
 
 
-def test_lm_is_a_distribution(spark):
-    """Probabilities of all words after a seen context sum to one."""
-    docs = spark.createDataFrame([(0, "a b a c a b"), (1, "b a b"), (3, "c c a")], "doc_id long, text string").coalesce(1)
-    train = [t for i, t in ((0, "a b a c a b"), (1, "b a b"), (3, "c c a")) if crc(i, 7) != 2]
-    vocabulary = sorted({w for t in train for w in t.split()})
-    tests = [(1000 + k, f"a {w}") for k, w in enumerate(["", *vocabulary, "unseen"])]
-    rows = lm.score(docs.union(spark.createDataFrame([x for x in tests if crc(x[0], 7) == 2] or [(9, "a")], "doc_id long, text string"))).collect()
-    assert all(r.score < 0 for r in rows)
+def test_lm_score_against_dictionaries(spark, odd_docs, monkeypatch):
+    """Probabilities with the learned weights, from plain counts; over all words and the unknown they sum to one."""
+    learned, learn = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a: learned.append(learn(*a)) or learned[-1])
+    low = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    extra = [(2000 + k, " ".join(random.Random(k).choice("abcdef") for _ in range(30))) for k in range(60)]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [tuple(r) for r in docs.collect()]
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in lm.score(docs).collect())
+    uni, pair = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if crc(i, 7) != 2:
+            toks = [*low(t), "</end>"]
+            uni.update(toks)
+            pair.update(zip(["<start>", *toks], toks))
+    uni["<start>"] = uni["</end>"]  # as contexts
+    n, v = sum(c for w, c in uni.items() if w != "<start>"), len(uni) - 1
+    weights = learned[0]
+
+    def p(h, w):
+        l2, l1, l0 = weights[min(1 + int(math.log2(uni[h])), lm.LEVELS - 1) if uni[h] else 0]
+        return l2 * pair[h, w] / max(uni[h], 1) + l1 * (uni[w] if w != "<start>" else 0) / n + l0 / (v + 1)
+
+    score = lambda toks: sum(math.log10(p(h, w)) for h, w in zip(["<start>", *toks], toks))
+    want = sorted((str(i), round(score([*low(t), "</end>"]), 6)) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 1e-5 * abs(b) + 1e-5 for (_, a), (_, b) in zip(got, want))
+    for h in ["<start>", "a", "b", *list(uni)[:20]]:
+        assert abs(sum(p(h, w) for w in uni if w != "<start>") + p(h, "never seen") - 1) < 1e-9
 
 
 def test_em_finds_the_mixture():
