@@ -121,3 +121,16 @@ def pieces(batch: pa.RecordBatch, at: int, limit: int = 4 << 20):
     edges = np.concatenate([[0], np.flatnonzero(np.diff(cut)) + 1, [batch.num_rows]]) if batch.num_rows else [0]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield batch.slice(int(a), int(b - a))
+
+
+def stacked(batches, at: int, limit: int):
+    """Record batches of about `limit` bytes of text in column `at`, however the incoming ones are cut (one row at least)."""
+    held, size = [], 0
+    for b in (x for batch in batches for x in pieces(batch, at, max(limit >> 3, 1))):
+        held.append(b)
+        size += pc.sum(pc.binary_length(b.column(at))).as_py() or 0
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (whole := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield whole[0]

@@ -1,11 +1,13 @@
 """Packing: lexical retrieval packing.
 
-A task cuts the documents it reads into shards of about `SHARD` bytes of text and indexes each shard by BM25: postings
-from every word to the documents that hold it.  A window of `WINDOW` tokens starts from a seed document; the index
+Documents are dealt to tasks by the least hash among their words of `LONG` characters or more (texts that share words are
+likely to share it), so that a document's lexical neighbours tend to lie in its shard; frequent keys are split by size.
+A task sorts what it has by that key, cuts it into shards of about `SHARD` bytes of text and indexes each shard by BM25:
+postings from every word to the documents that hold it.  A window of `WINDOW` tokens starts from a seed document; the index
 returns the seed's nearest unused neighbours, which fill the window greedily, best first.  What is cut off at the end of
 a window begins the next one and its document is the next seed, so windows are full; a shard's last, partly filled window
-is cut into sequences whose lengths are powers of two, so that nothing is padded.  Packing needs no shuffle, a shard
-bounds memory, and a retried task packs alike: sequence ids hold the partition and a counter.
+is cut into sequences whose lengths are powers of two, so that nothing is padded.  A shard bounds memory, and a retried
+task packs alike: it sorts its rows, and sequence ids hold the partition and a counter.
 
 Defined results: null and empty texts are documents of the end id alone; documents without a neighbour (no shared word)
 are followed by the next unused one in order; repeated rows are packed each; null doc_ids are kept; an empty table gives
@@ -20,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import stacked, table
 from .tokens import default_path, gather, words_and_ids
 
 WINDOW = 2048
 SHARD = 6 << 20
+LONG = 8
 K1, B = 1.2, 0.75
 
 
@@ -110,6 +114,15 @@ def _in_powers(out, sequence: int, filled: int):
     return out
 
 
+def routed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, route: rows of one route lie together, in tasks of like size."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    least = lambda ws: F.array_min(F.transform(ws, lambda w: F.xxhash64(w)))
+    route = F.coalesce(least(F.filter(words, lambda w: F.length(w) >= LONG)), least(words))
+    rows = docs.select("doc_id", "text", route.alias("route")).hint("rebalance", F.col("route"))
+    return rows.sortWithinPartitions("route", "doc_id", F.xxhash64("text"))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard: int = SHARD, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (unsigned little-endian
     32-bit) of each piece."""
@@ -118,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
 
     def run(batches):
         base = TaskContext.get().partitionId() << 40
-        for b in (x for batch in batches for x in pieces(batch, 1, shard)):
+        for b in stacked(batches, 1, shard):
             ids, offsets, codes, word_offsets = words_and_ids(b.column(1), tokenizer)
             ids, lens = ids.astype("<u4"), np.diff(offsets)
             out = np.array(pack_shard(lens, Index(codes, word_offsets), window), dtype=np.int64).reshape(-1, 5)
@@ -132,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
             yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids binary" * with_ids)
+    return routed(docs).mapInArrow(run, schema + ", ids binary" * with_ids)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

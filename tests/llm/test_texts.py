@@ -316,6 +316,21 @@ def test_packing(spark, odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_routes_bring_texts_of_shared_words_together(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    texts = [" ".join(["the"] * 20 + [word() for _ in range(20)]) for _ in range(60)]
+    texts = [t for t in texts for _ in range(2)]
+    r.shuffle(texts)
+    docs = spark.createDataFrame([(i, t + (" the end" if i % 2 else "")) for i, t in enumerate(texts)] + [(900, None), (901, "a b")], "doc_id long, text string").repartition(6)
+    rows = packing.routed(docs).withColumn("task", F.spark_partition_id()).collect()
+    route, place = {}, {}
+    for r_ in rows:
+        route.setdefault((r_.text or "").replace(" the end", ""), set()).add(r_.route)
+        place.setdefault(r_.route, set()).add(r_.task)
+    assert len(rows) == 122 and all(len(x) == 1 for x in [*route.values(), *place.values()]) and len(route) == 62
+
+
 def test_packing_follows_bm25():
     docs = [[0, 1, 2, 3], [9, 8, 7], [0, 1, 2, 5], [9, 8, 6]]
     codes, off = np.array(sum(docs, [])), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
