@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, encode_words, materialize, segment_sums, table
+from .common import crc_mod, encode_words, materialize, segment_sums, table
 
 MOD, HELD_OUT = 7, 2
 CHUNK = 4 << 20

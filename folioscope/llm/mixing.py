@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_rate=MAX_RATE) -
 
 def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_rate=MAX_RATE, seed=SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies for each row of docs."""
-    sizes = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    sizes = materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "mix-sizes")  # texts are counted once
     per = materialize(targets(sizes, weights, share, max_rate), "mix-sources")
     small = per.count() <= BROADCAST_SOURCES
     right = per.withColumnRenamed("source", "mix_source")

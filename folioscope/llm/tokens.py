@@ -27,7 +27,8 @@ def default_path() -> str:
 
 @lru_cache(maxsize=4)
 def load(path: str):
-    """The tokenizer, and for each id whether it ends a pre-token (None if the vocabulary does not mark that)."""
+    """The tokenizer, and for each id whether it ends a pre-token (None if the vocabulary does not mark that, or if case
+    matters: then every distinct word is encoded by itself)."""
     import json
     import os
 
@@ -37,7 +38,8 @@ def load(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
-    if not suffix:
+    lowers = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AbÉß") == "abéß"
+    if not suffix or not lowers:
         return tokenizer, None
     vocab = tokenizer.get_vocab(with_added_tokens=False)
     ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
