@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..constants import STOPWORDS, WHITELIST
 from ..functions.text import is_blank, is_numbery, is_pronounceable, language_by_stopwords, let, ngrams, normalize, sentences, word_tokens
+from ..session import held
 
 PAGE = ["doc_id", "page_no"]
 ADD_K = 0.1
+#: Lexicons of at most so many words are broadcast; larger ones are joined in so many salted copies.
+BROADCAST_WORDS = 500_000
+SALTS = 32
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
@@ -63,9 +67,17 @@ def invalid_tokens(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     (largest first, first occurrence on ties)."""
     tokens = pages.select(*PAGE, F.substring(F.coalesce("language", F.lit("en")), 1, 2).alias("lang"), F.posexplode(countable_tokens(F.col("prose"))).alias("pos", "token"))
     per = tokens.groupBy(*PAGE, "lang", "token").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    known = lexicon.select("lang", F.col("token").alias("key"), F.lit(True).alias("known")).distinct()
-    english = known.where("lang = 'en'").select("key", F.col("known").alias("known_en"))
-    per = per.withColumn("key", lexicon_key(F.col("token"))).join(known, ["lang", "key"], "left").join(english, "key", "left")
+    known = held(lexicon.select("lang", F.col("token").alias("key")).distinct(), "lexicon")
+    per = per.withColumn("key", lexicon_key(F.col("token")))
+    # a page asks for each of its words once, so every page asks for the commonest: no task may gather those rows
+    if known.count() <= BROADCAST_WORDS:
+        salt, salted = [], F.broadcast
+    else:
+        salt = ["salt"]
+        per = per.withColumn("salt", F.pmod(F.xxhash64(*PAGE), F.lit(SALTS)))
+        salted = lambda k: k.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    per = per.join(salted(known.withColumn("known", F.lit(True))), ["lang", "key", *salt], "left")
+    per = per.join(salted(known.where("lang = 'en'").select("key", F.lit(True).alias("known_en"))), ["key", *salt], "left")
     bad = ~(F.coalesce("known", "known_en", F.lit(False)) | valid_by_shape(F.col("token")))
     per = per.withColumn("bad", bad).withColumn("gibberish", ~is_pronounceable(F.col("token")))
     entry = F.struct((-F.col("n")).alias("order"), F.col("first").alias("first"), F.col("n").cast("int").alias("n"), F.col("token"), F.col("gibberish"))

@@ -53,3 +53,18 @@ def test_html_similarity_of_whole_pages(spark, tmp_path):
         t = " ".join(re.sub("<[^>]+>", " ", h or "").split())
         want[i] = round(difflib.SequenceMatcher(None, t, t.replace("e", "3")).ratio(), 6) if t else None
     assert {r.page_id: r.ratio for r in Q.html_similarity(spark, str(tmp_path)).collect()} == want
+
+
+def test_unknown_words_by_broadcast_and_by_salted_joins(spark, monkeypatch):
+    from folioscope.operators import context as C
+    from folioscope.operators.pages import from_texts, with_text
+
+    rows = [("a", k, "the cat and the zzkrt sat on the mat" if k % 2 else "the the qwrtz le chat", "en" if k % 3 else "fr") for k in range(1, 9)]
+    pages = with_text(from_texts(spark.createDataFrame(rows, "doc_id string, page_no int, text string, language string")))
+    lexicon = spark.createDataFrame([("en", w) for w in "the cat and sat on mat".split()] + [("fr", "le"), ("fr", "chat")], "lang string, token string")
+    found = []
+    for limit in (500_000, 1):
+        monkeypatch.setattr(C, "BROADCAST_WORDS", limit)
+        found.append(sorted((r.page_no, r.n_countable, r.n_bad, [(b.token, b.n) for b in r.bad]) for r in C.invalid_tokens(pages, lexicon).collect()))
+    assert found[0] == found[1] and found[0][0] == (1, 9, 1, [("zzkrt", 1)])
+    assert [x[2] for x in found[0]] == [1, 3, 1, 3, 1, 1, 1, 3]
