@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
 import uuid
 
@@ -75,6 +76,11 @@ def give_back() -> None:
         pass
 
 
+def cells(spark: SparkSession, size: float, cell: float) -> int:
+    """Cells of about `cell` that hold `size`, enough of them for every shuffle partition to have some."""
+    return max(math.ceil(size / cell), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -43,6 +43,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
     else:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = materialize(out.where("u <> v").distinct(), "cc")
+    out = out.where("u <> v")
+    out = materialize(out.distinct() if small else out, "cc")  # repeated links do no harm to the star that follows
     discard(least)
     return out

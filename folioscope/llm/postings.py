@@ -9,14 +9,12 @@ links would join: never all pairs of a group.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialize
+from .common import cells, discard, join_counted, materialize
 
 CELL = 100_000
 TILE = 8192
@@ -125,11 +123,11 @@ def links(entries: DataFrame, words: list[str], bits: int, least: int, nodes: Da
     if nodes is not None:
         held = held.join(nodes.select(F.col("node").alias("x"), *more), F.col("node") == F.col("x")).drop("x")
     held = materialize(held, "postings")
-    cells = max(1, math.ceil(held.count() / cell))
+    n = cells(held.sparkSession, held.count(), cell)
     spread = held.withColumn("tiles", F.ceil(F.col("m") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     spread = spread.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.select("key", "node", *more, F.least("own", "t").cast("long").alias("i"), F.greatest("own", "t").cast("long").alias("j"))
-    spread = spread.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)))
+    spread = spread.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n)))
     out = materialize(spread.groupBy("cell").applyInPandas(lambda pdf: search_cell(pdf, words, bits, least), "a long, b long"), "postings-links")
     discard(many, held)
     return out

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .common import discard, materialize, pieces
+from .common import cells, discard, materialize, pieces
 from .components import components
 from .simhash import BROADCAST_IDS, named_groups, shingle_hashes
 from .subwords import mix64
@@ -44,7 +44,7 @@ WORDS = 4
 SHARED = 4
 SEED = 7
 #: Bytes of a cluster's sets that are compared at a time, and of the sets of a cell of clusters.
-TILE, CELL = 4 << 20, 8 << 20
+TILE, CELL = 1 << 20, 4 << 20
 CLASSES = ((0, 1, 2), (3, 4, 5), (6, 7))
 PAIRS = [(8 * w + a, 8 * w + b) for w in range(WORDS) for c in CLASSES for a, b in combinations(c, 2)]
 COLUMNS = [f"w{k}" for k in range(WORDS)]
@@ -190,7 +190,7 @@ def exact_links(docs: DataFrame, fps: DataFrame, nodes: DataFrame, similarity: f
     spread = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.select("cluster", "fp", "shingles", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"))
     total = own.agg(F.sum(size * F.col("tiles"))).first()[0] or 0
-    spread = spread.withColumn("cell", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(max(1, math.ceil(total / CELL)))))
+    spread = spread.withColumn("cell", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(cells(docs.sparkSession, total, CELL))))
     out = materialize(spread.groupBy("cell").applyInPandas(lambda pdf: _verify(pdf, similarity), "a long, b long"), "wide-links")
     discard(clusters, sets)
     return out
