@@ -58,6 +58,12 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimals, half away from zero, as the SQL rounds: by the scaled double, not by its decimal string."""
+    scale = F.lit(float(10**digits))
+    return F.round(x.cast("double") * scale, 0) / scale
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -67,7 +73,7 @@ def lerp_score(value: Column, good: Column | float, bad: Column | float) -> Colu
     value = value.cast("double")
     good, bad = (x if isinstance(x, Column) else F.lit(float(x)) for x in (good, bad))
     part = clamp((value - good) / F.nullif(bad - good, F.lit(0.0)), 0.0, 1.0)
-    return F.when(good == bad, F.when(value == good, 100.0).otherwise(0.0)).otherwise(F.round((F.lit(1.0) - part) * 100.0, 1))
+    return F.when(good == bad, F.when(value == good, 100.0).otherwise(0.0)).otherwise(rounded((F.lit(1.0) - part) * 100.0, 1))
 
 
 def status_of(score: Column, good: float = 70.0, warn: float = 50.0) -> Column:

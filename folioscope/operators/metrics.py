@@ -68,7 +68,7 @@ def result(key, raw, score, status, threshold: dict, how, example, evidence, jus
     pairs = [x for k, v in threshold.items() for x in (F.lit(k), lit(v).cast("string"))]
     return F.struct(
         F.lit(KEYS.index(key)).alias("metric_ord"), F.lit(key).alias("key"), F.lit(NAMES[key]).alias("name"),
-        F.round(lit(raw).cast("double"), 4).alias("raw_value"), F.round(lit(score).cast("double"), 1).alias("score"), lit(status).alias("status"),
+        T.rounded(lit(raw), 4).alias("raw_value"), T.rounded(lit(score), 1).alias("score"), lit(status).alias("status"),
         (F.create_map(*pairs) if pairs else F.expr("map()")).cast("map<string,string>").alias("threshold"),
         F.lit(MEASURES[key]).alias("what_it_measures"), lit(how).alias("how_computed"), lit(example).alias("example"),
         F.slice(evidence, 1, 8).alias("evidence"), F.slice(locations if locations is not None else F.expr(NO_LOCATIONS), 1, 12).alias("locations"),
@@ -196,7 +196,7 @@ def tsi(c: Config) -> Column:
     mean = F.aggregate(info, F.lit(0.0), lambda a, t: a + M.table_defect(t)) / n
     differs = says & (told != n)
     raw = F.when(differs, F.least(F.lit(1.0), mean + 0.25)).otherwise(mean)
-    score = F.round((1 - raw) * 100, 1)
+    score = T.rounded((1 - raw) * 100, 1)
     found = F.concat(F.flatten(F.transform(both, lines)), texts((differs, fmt("output_chunks reports table_count=%d but %d table(s) parsed — count mismatch", told, n))))
     evidence = F.when(F.size(found) > 0, found).otherwise(texts(fmt("%d table(s) well-structured", n)))
     wrong = F.filter(both, lambda x: M.table_defect(x["t"]) > 0)
@@ -215,7 +215,7 @@ def quoted(items: Column, k: int, sep: str = ", ", count: str = " ×") -> Column
 def lvr(c: Config) -> Column:
     n, k, bad = F.col("n_countable"), F.col("n_bad"), F.col("bad")
     ratio = (n - k) / n
-    score, hard = T.lexical_score(ratio), ratio < c.lexical_warn
+    score, hard = T.rounded(T.lexical_score(ratio), 1), ratio < c.lexical_warn
     top = F.slice(bad, 1, 8)
     evidence = F.when(k > 0, F.transform(top, lambda x: F.concat(F.lit("'"), x["token"], F.lit("' ×"), x["n"].cast("string")))).otherwise(texts(F.lit("no invalid tokens detected")))
     where = F.transform(top, lambda x: location(F.when(x["gibberish"], "gibberish_word").otherwise("rare_word"), F.when(x["gibberish"], "definite").otherwise("statistical"), block_with(x["token"]), x["token"]))
@@ -253,7 +253,7 @@ def sfc(c: Config) -> Column:
     raw = F.abs(seen - expected)
     score = T.lerp_score(raw, 0.0, STOPWORD_BAND)
     just = F.concat(fmt("Stopword share %.1f%% deviates %.1f%% from the expected %.0f%% for %s ", seen * 100, raw * 100, expected * 100, lang), F.lit(f"(band ±{STOPWORD_BAND * 100:.0f}%)."))
-    full = result("SFC", raw, score, T.status_of(score), {"expected": expected, "band": STOPWORD_BAND, "lang": lang}, "|share of function words - expected share|", fmt("%.0f%% of %d words are function words; about %.0f%% are expected.", seen * 100, n, expected * 100), texts(fmt("observed %.1f%% vs expected %.0f%% (%s); deviation %.1f%%", seen * 100, expected * 100, lang, raw * 100)), just, low=F.col("low"))
+    full = result("SFC", T.rounded(raw, 6), score, T.status_of(score), {"expected": expected, "band": STOPWORD_BAND, "lang": lang}, "|share of function words - expected share|", fmt("%.0f%% of %d words are function words; about %.0f%% are expected.", seen * 100, n, expected * 100), texts(fmt("observed %.1f%% vs expected %.0f%% (%s); deviation %.1f%%", seen * 100, expected * 100, lang, raw * 100)), just, low=F.col("low"))
     return F.when(n == 0, na("SFC", "no prose tokens on this page")).otherwise(full)
 
 
@@ -297,11 +297,12 @@ def ttr_parts(words: Column) -> dict[str, Column]:
 
 def ttr(c: Config) -> Column:
     p = F.col("diversity")
-    n, ratio, low, high, score = p["n"], p["ratio"], p["low"], p["high"], p["score"]
+    n, ratio, low, high = p["n"], p["ratio"], p["low"], p["high"]
+    score = T.rounded(T.rounded(p["score"], 6), 1)  # the status is that of the score as shown
     tail = F.when(ratio < low, "low (looping/repetition)").when(ratio > high, "high (possible fragmentation)").otherwise("in-band")
     note = F.when(ratio > high, fmt("; %.0f%% of unique types are unpronounceable", p["junk"] * 100)).otherwise("")
     evidence = texts(F.concat(fmt("TTR=%.2f over %d tokens; expected %.2f–%.2f; tail=%s", ratio, n, low, high, tail), note))
-    full = result("TTR", ratio, score, T.status_of(score), {"expected_low": F.round(low, 2), "expected_high": F.round(high, 2)}, "distinct words / words, against the band of the length", fmt("%d distinct words of %d.", p["types"], n), evidence, fmt("Type-token ratio %.2f (%s); expected band %.2f–%.2f for %d tokens.", ratio, tail, low, high, n), low=F.col("low"))
+    full = result("TTR", T.rounded(ratio, 6), score, T.status_of(score), {"expected_low": F.round(low, 2), "expected_high": F.round(high, 2)}, "distinct words / words, against the band of the length", fmt("%d distinct words of %d.", p["types"], n), evidence, fmt("Type-token ratio %.2f (%s); expected band %.2f–%.2f for %d tokens.", ratio, tail, low, high, n), low=F.col("low"))
     return F.when(n < 10, na("TTR", "too few prose tokens for diversity (<10)")).otherwise(full)
 
 
@@ -425,7 +426,7 @@ def _feature_columns(config: Config) -> tuple[dict[str, Column], dict[str, Colum
     punct = punctuation_parts(F.col("prose"), F.col("words"))
     then = {
         "low": (F.size("words") < config.short_page_token_floor) | (T.nz(F.col("language")) == ""),
-        "kl": T.kl_divergence(F.col("prose"), F.col("language")),
+        "kl": T.rounded(T.kl_divergence(F.col("prose"), F.col("language")), 6),
         "entropy": T.shannon_entropy(F.col("prose")),
         "odd": T.odd_letters(F.col("prose"), F.col("language")),
         "stop_n": stopword_count(F.col("words"), stopword_language(F.col("language"))),

@@ -22,7 +22,7 @@ from ..sources import markdown as MD
 from .text_queries import TURNS, docs, lerp_sql, pages_of, strip_sql, turns
 
 LONG = lambda c: c.cast("long")
-R6 = lambda c: F.round(c.cast("double"), 6)
+R6 = lambda c: T.rounded(c, 6)
 CONFIG = Config()
 
 

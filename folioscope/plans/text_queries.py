@@ -16,7 +16,7 @@ from ..operators import metrics as X
 from ..operators.pages import from_texts, with_text
 from ..session import spread
 
-R6 = lambda c: F.round(c.cast("double"), 6)
+R6 = lambda c: T.rounded(c, 6)
 LONG = lambda c: c.cast("long")
 
 # SQL fragments
@@ -151,7 +151,7 @@ def lexical_validity(spark, d):
     p = doc_pages(spark, d)
     bad = C.invalid_tokens(p, C.default_lexicon(p))
     ratio = (F.col("n_countable") - F.col("n_bad")) / F.col("n_countable")
-    return bad.select(LONG(F.col("page_no")).alias("page_no"), LONG(F.col("n_countable")).alias("n_countable"), LONG(F.col("n_bad")).alias("n_bad"), LONG(F.col("n_gibberish")).alias("n_gibberish"), R6(ratio).alias("ratio"), F.round(T.lexical_score(ratio), 1).alias("score"))
+    return bad.select(LONG(F.col("page_no")).alias("page_no"), LONG(F.col("n_countable")).alias("n_countable"), LONG(F.col("n_bad")).alias("n_bad"), LONG(F.col("n_gibberish")).alias("n_gibberish"), R6(ratio).alias("ratio"), T.rounded(T.lexical_score(ratio), 1).alias("score"))
 
 
 def top_unknown_words(spark, d):
@@ -310,7 +310,7 @@ def fluency_bounds(spark, d):
 def worst_sentences(spark, d):
     per, _ = C.page_fluency(pages_of(spark, d))
     w = per.select("doc_id", "page_no", F.posexplode("worst").alias("rank", "s"))
-    return w.select(F.col("doc_id").cast("long").alias("doc_id"), LONG(F.col("page_no")).alias("page_no"), LONG(F.col("rank") + 1).alias("rank"), F.round("s.bits", 5).alias("bits"))
+    return w.select(F.col("doc_id").cast("long").alias("doc_id"), LONG(F.col("page_no")).alias("page_no"), LONG(F.col("rank") + 1).alias("rank"), T.rounded(F.col("s.bits"), 5).alias("bits"))
 
 
 def _norm_sql(t: str) -> str:
