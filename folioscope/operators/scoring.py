@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..constants import HARD_RULES, PRIORITY
+from ..functions.text import rounded
 
 
 def weight_of(key: Column, config: Config) -> Column:
@@ -20,7 +21,7 @@ def page_quality_score(metrics: Column, config: Config) -> Column:
     used = F.filter(metrics, lambda m: m["applicable"])
     total = F.aggregate(used, F.lit(0.0), lambda a, m: a + weight_of(m["key"], config))
     weighted = F.aggregate(used, F.lit(0.0), lambda a, m: a + F.when(total > 0, weight_of(m["key"], config) / total).otherwise(F.lit(1.0) / F.size(used)) * m["score"])
-    return F.when(F.size(used) == 0, 100.0).otherwise(F.round(weighted, 1))
+    return F.when(F.size(used) == 0, 100.0).otherwise(rounded(weighted, 1))
 
 
 def hard_keys(metrics: Column) -> Column:
@@ -56,19 +57,25 @@ def page_reports(metrics: DataFrame, config: Config = Config()) -> DataFrame:  #
 def document_reports(reports: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """doc_id, document_score, document_verdict, verdict_reason, faulty_pages, summary from page reports.
 
-    Every aggregate has a partial form but the page lists, which hold page numbers only."""
+    Every aggregate has a partial form but the lists of pages, which hold numbers only.  The weighted mean folds over the
+    pages in their order: at decimal ties another order of the same sums can round to another score."""
     weight = F.greatest(F.col("token_count").cast("double"), F.lit(float(config.short_page_token_floor)))
     review, hard = F.col("verdict") == "review", F.size("hard_keys") > 0
     pages_where = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("page_no"))))
     d = reports.groupBy("doc_id").agg(
-        (F.sum(weight * F.col("page_score")) / F.nullif(F.sum(weight), F.lit(0.0))).alias("mean"),
+        F.sort_array(F.collect_list(F.struct(F.col("page_no"), weight.alias("weight"), F.col("page_score").alias("score")))).alias("scored"),
         F.count("*").alias("total"),
         pages_where(review).alias("faulty_pages"),
         pages_where(hard).alias("hard_pages"),
         pages_where(F.array_contains("hard_keys", "IFR")).alias("inference_failed_pages"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("hard_keys")))).alias("hard_rules"),
     )
-    d = d.withColumn("document_score", F.coalesce(F.round("mean", 1), F.lit(100.0))).withColumn("faulty", F.size("faulty_pages")).withColumn("ratio", F.col("faulty") / F.col("total"))
+    sums = F.aggregate(
+        F.filter("scored", lambda p: p["score"].isNotNull()), F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight")),
+        lambda a, p: F.struct((a["score"] + p["weight"] * p["score"]).alias("score"), (a["weight"] + p["weight"]).alias("weight")),
+    )
+    d = d.withColumn("sums", sums).withColumn("mean", F.col("sums.score") / F.nullif(F.col("sums.weight"), F.lit(0.0)))
+    d = d.withColumn("document_score", F.coalesce(rounded(F.col("mean"), 1), F.lit(100.0))).withColumn("faulty", F.size("faulty_pages")).withColumn("ratio", F.col("faulty") / F.col("total"))
     low, many, broken = F.col("document_score") < config.t_doc, F.col("ratio") > config.doc_flag_ratio, F.size("hard_pages") > 0
     names = F.create_map(*[F.lit(x) for kv in HARD_RULES.items() for x in kv])
     named = F.array_join(F.transform("hard_rules", lambda k: F.coalesce(F.try_element_at(names, k), k)), ", ")
@@ -89,7 +96,7 @@ def document_reports(reports: DataFrame, config: Config = Config()) -> DataFrame
         F.lit(". Rule(s): "), F.array_join("failed_rules", "; "), F.lit("."),
     )
     summary = F.struct(
-        F.col("total").alias("total_pages"), (F.col("total") - F.col("faulty")).alias("passed_pages"), F.col("faulty").alias("faulty_pages"), F.round("ratio", 3).alias("faulty_ratio"),
+        F.col("total").alias("total_pages"), (F.col("total") - F.col("faulty")).alias("passed_pages"), F.col("faulty").alias("faulty_pages"), rounded(F.col("ratio"), 3).alias("faulty_ratio"),
         F.col("document_score").alias("dqs"), "hard_pages", "hard_rules", "inference_failed_pages",
         F.struct(F.lit(config.t_doc).alias("t_doc"), F.lit(config.t_page).alias("t_page"), F.lit(config.doc_flag_ratio).alias("doc_flag_ratio")).alias("thresholds"), "failed_rules",
     )
