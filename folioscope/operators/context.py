@@ -11,9 +11,11 @@ from ..session import held
 
 PAGE = ["doc_id", "page_no"]
 ADD_K = 0.1
-#: Lexicons of at most so many words are broadcast; larger ones are joined in so many salted copies.
+#: Lexicons of at most so many words are broadcast.  Of larger ones, the words on more than a `RARE`th of all pages' words
+#: are broadcast and the others joined by shuffle; where the lexicon does not count pages, all are joined in salted copies.
 BROADCAST_WORDS = 500_000
 SALTS = 32
+RARE = 50_000
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
@@ -53,13 +55,14 @@ def valid_by_shape(token: Column) -> Column:
 
 
 def default_lexicon(pages: DataFrame, least_pages: int = 3) -> DataFrame:
-    """lang, token: words that occur on `least_pages` pages or more of a language, and all stopwords and whitelisted
-    words.  A stand-in for a dictionary, which is a relation of the caller's."""
+    """lang, token, n (pages): words that occur on `least_pages` pages or more of a language, and all stopwords and
+    whitelisted words.  A stand-in for a dictionary, which is a relation of the caller's."""
     words = pages.select(*PAGE, F.substring(F.coalesce("language", F.lit("en")), 1, 2).alias("lang"), F.explode(F.array_distinct(F.transform(countable_tokens(F.col("prose")), lexicon_key))).alias("token"))
-    common = words.groupBy("lang", "token").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("lang", "token")
+    common = words.groupBy("lang", "token").agg(F.count("*").alias("n"))
     spark = pages.sparkSession
     given = [(k, w) for k, v in STOPWORDS.items() for w in v] + [(k, w) for k in STOPWORDS for w in WHITELIST]
-    return common.union(spark.createDataFrame(given, "lang string, token string")).distinct()
+    added = spark.createDataFrame(given, "lang string, token string").select("lang", "token", F.lit(least_pages).cast("long"))
+    return common.where(F.col("n") >= least_pages).union(added).groupBy("lang", "token").agg(F.max("n").alias("n"))
 
 
 def invalid_tokens(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -67,18 +70,27 @@ def invalid_tokens(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     (largest first, first occurrence on ties)."""
     tokens = pages.select(*PAGE, F.substring(F.coalesce("language", F.lit("en")), 1, 2).alias("lang"), F.posexplode(countable_tokens(F.col("prose"))).alias("pos", "token"))
     per = tokens.groupBy(*PAGE, "lang", "token").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    known = held(lexicon.select("lang", F.col("token").alias("key")).distinct(), "lexicon")
+    pages_of_word = F.sum("n") if "n" in lexicon.columns else F.lit(None).cast("long")
+    known = held(lexicon.groupBy(F.col("token").alias("key")).agg(F.array_join(F.collect_set("lang"), ",").alias("langs"), pages_of_word.alias("pages")), "lexicon")
     per = per.withColumn("key", lexicon_key(F.col("token")))
     # a page asks for each of its words once, so every page asks for the commonest: no task may gather those rows
-    if known.count() <= BROADCAST_WORDS:
-        salt, salted = [], F.broadcast
+    salt = F.pmod(F.xxhash64(*PAGE), F.lit(SALTS))
+    words, asked = known.agg(F.count("*"), F.sum("pages")).first()
+    # Spark takes copies to be as small as the file they come from, and would broadcast large tables: hence the hints
+    if words <= BROADCAST_WORDS:
+        per = per.join(F.broadcast(known), "key", "left")
+    elif asked is None:
+        copies = known.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))).hint("merge")
+        per = per.withColumn("salt", salt).join(copies, ["key", "salt"], "left")
     else:
-        salt = ["salt"]
-        per = per.withColumn("salt", F.pmod(F.xxhash64(*PAGE), F.lit(SALTS)))
-        salted = lambda k: k.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    per = per.join(salted(known.withColumn("known", F.lit(True))), ["lang", "key", *salt], "left")
-    per = per.join(salted(known.where("lang = 'en'").select("key", F.lit(True).alias("known_en"))), ["key", *salt], "left")
-    bad = ~(F.coalesce("known", "known_en", F.lit(False)) | valid_by_shape(F.col("token")))
+        hot = F.col("pages") > asked // RARE
+        per = per.join(F.broadcast(known.where(hot).select("key", F.col("langs").alias("hot_langs"))), "key", "left")
+        # what is known by now is dealt out under keys that no word has
+        rest = F.when(F.col("hot_langs").isNull(), F.col("key")).otherwise(F.concat(F.lit(" "), salt.cast("string")))
+        per = per.withColumn("rest", rest).join(known.where(~hot).select(F.col("key").alias("rest"), "langs").hint("merge"), "rest", "left")
+        per = per.withColumn("langs", F.coalesce("hot_langs", "langs"))
+    known_word = (F.find_in_set(F.col("lang"), F.col("langs")) > 0) | (F.find_in_set(F.lit("en"), F.col("langs")) > 0)
+    bad = ~(F.coalesce(known_word, F.lit(False)) | valid_by_shape(F.col("token")))
     per = per.withColumn("bad", bad).withColumn("gibberish", ~is_pronounceable(F.col("token")))
     entry = F.struct((-F.col("n")).alias("order"), F.col("first").alias("first"), F.col("n").cast("int").alias("n"), F.col("token"), F.col("gibberish"))
     return per.groupBy(*PAGE).agg(

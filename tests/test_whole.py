@@ -68,3 +68,23 @@ def test_unknown_words_by_broadcast_and_by_salted_joins(spark, monkeypatch):
         found.append(sorted((r.page_no, r.n_countable, r.n_bad, [(b.token, b.n) for b in r.bad]) for r in C.invalid_tokens(pages, lexicon).collect()))
     assert found[0] == found[1] and found[0][0] == (1, 9, 1, [("zzkrt", 1)])
     assert [x[2] for x in found[0]] == [1, 3, 1, 3, 1, 1, 1, 3]
+
+
+def test_large_lexicons_are_not_broadcast_whole(spark, monkeypatch):
+    from folioscope.operators import context as C
+    from folioscope.operators.pages import from_texts, with_text
+
+    rare = [f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(60)]
+    rows = [("a", k, "the cat sat zzkrt " + " ".join(rare[k % 3 :: 3]) + f" q{chr(97 + k)}zrt", "en" if k % 4 else "fr") for k in range(1, 25)]
+    pages = with_text(from_texts(spark.createDataFrame(rows, "doc_id string, page_no int, text string, language string")))
+    lexicon = C.default_lexicon(pages)
+    monkeypatch.setattr(C, "RARE", 20)
+    found = []
+    for limit, given in ((500_000, lexicon), (1, lexicon), (1, lexicon.drop("n"))):
+        monkeypatch.setattr(C, "BROADCAST_WORDS", limit)
+        bad = C.invalid_tokens(pages, given)
+        found.append(sorted((r.page_no, r.n_countable, r.n_bad, r.n_gibberish, [(b.token, b.n) for b in r.bad]) for r in bad.collect()))
+        if limit == 1:  # the file is far below the size that Spark broadcasts by itself
+            assert "SortMergeJoin" in bad._jdf.queryExecution().executedPlan().toString()
+    assert found[0] == found[1] == found[2] and len(found[0]) == 24
+    assert all(x[2] for x in found[0])
