@@ -5,8 +5,13 @@ Pages come from `documents` (page = doc_id, document = source) or `conversations
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..constants import LETTERS, STOPWORDS, VOWELS, WHITELIST
 from ..functions import markup as M
@@ -345,13 +350,61 @@ BOUNDS_SQL = f"{_TRI}{_BOUNDS_CTES} SELECT doc_id, round(ppl_good, 6) AS ppl_goo
 WORST_SQL = _TRI + ", r AS (SELECT doc_id, page_no, s, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY s DESC, pos) AS rank FROM scored WHERE pos >= 0) SELECT doc_id, page_no, rank, round(s, 5) AS bits FROM r WHERE rank <= 3"
 
 
+#: Items whose words are held against a batch of documents at a time, and the words of them (one item at least).
+TILE_ITEMS, TILE_WORDS = 256, 1 << 14
+
+
+def _tiles(items: list) -> list[list]:
+    out, words = [], 0
+    for item in items:
+        if not out or len(out[-1]) >= TILE_ITEMS or words + len(item["mine"]) > TILE_WORDS:
+            out.append([])
+            words = 0
+        out[-1].append(item)
+        words += len(item["mine"])
+    return out
+
+
+def _incidence(tile: list) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of some items, and which item has which (words by items)."""
+    words = pa.array([w for item in tile for w in item["mine"]], pa.large_string()).dictionary_encode()
+    has = np.zeros((len(words.dictionary), len(tile)), dtype=np.float32)
+    has[np.asarray(words.indices), np.repeat(np.arange(len(tile)), [len(item["mine"]) for item in tile])] = 1
+    return words.dictionary, has
+
+
 def word_recall(spark, d):
-    """Recall of every benchmark item's words in every document; items are few and broadcast, null if too short to judge."""
-    words = lambda c: F.array_distinct(T.word_tokens(F.lower(T.nz(F.col(c)))))
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", words("text").alias("mine"))
-    pairs = docs(spark, d).select("doc_id", words("text").alias("theirs")).crossJoin(F.broadcast(items))
-    judged = (F.size("mine") >= 10) & (F.size("theirs") > 0)
-    return pairs.select("doc_id", "item_id", R6(F.when(judged, F.size(F.array_intersect("mine", "theirs")) / F.size("mine"))).alias("recall"))
+    """Recall of every benchmark item's words in every document; items are few and go to every task, null if too short to
+    judge.  A document's words are looked up once, and one matrix product counts what it shares with each item."""
+    words = lambda c: T.word_tokens(F.lower(T.nz(F.col(c))))
+    listed = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.array_distinct(words("text")).alias("mine"))
+    kind = listed.schema["item_id"].dataType
+    tiles = _tiles(listed.collect())
+
+    def run(batches):
+        matrices = [(pa.array([x["item_id"] for x in t], to_arrow_type(kind)), np.array([len(x["mine"]) for x in t]), *_incidence(t)) for t in tiles]
+        for b in batches:
+            lists = b.column(1)
+            flat, n_words = lists.flatten().cast(pa.large_string()), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(n_words)])
+            for item_ids, size, vocabulary, has in matrices:
+                code = np.asarray(pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1))
+                # documents at a time: 4 million cells of words seen, 64 thousand rows of results
+                step = max(1, min((1 << 22) // max(len(vocabulary), 1), (1 << 16) // len(size)))
+                for i in range(0, b.num_rows, step):
+                    j = min(i + step, b.num_rows)
+                    seen = np.zeros((j - i, len(vocabulary)), dtype=np.float32)
+                    mine, doc = code[at[i] : at[j]], np.repeat(np.arange(j - i), n_words[i:j])
+                    seen[doc[mine >= 0], mine[mine >= 0]] = 1
+                    both = np.rint(seen @ has).astype(np.float64)
+                    judged = (n_words[i:j, None] > 0) & (size >= 10)[None, :]
+                    recall = pa.array((both / np.maximum(size, 1)).ravel(), mask=~judged.ravel())
+                    pair = np.arange(both.size)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(pair // len(size))), item_ids.take(pa.array(pair % len(size))), recall], ["doc_id", "item_id", "recall"])
+
+    rows = docs(spark, d).select("doc_id", words("text").alias("theirs"))
+    schema = StructType([rows.schema["doc_id"], StructField("item_id", kind), StructField("recall", DoubleType())])
+    return rows.mapInArrow(run, schema).withColumn("recall", R6(F.col("recall")))
 
 
 RECALL_SQL = f"""

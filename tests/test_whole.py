@@ -21,6 +21,30 @@ def test_word_recall_of_every_document_and_item(spark, tmp_path):
     assert sorted(map(tuple, Q.word_recall(spark, str(tmp_path)).collect()), key=str) == want
 
 
+def test_word_recall_looks_words_up_once_and_in_tiles_of_items(spark, tmp_path, monkeypatch):
+    from folioscope.plans import text_queries as Q
+
+    monkeypatch.setattr(Q, "TILE_ITEMS", 3)
+    monkeypatch.setattr(Q, "TILE_WORDS", 40)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = [x + y for x in letters for y in letters]
+    docs = [(i if i % 7 else None, " ".join(word[(i * k * 13) % 676] for k in range(1, 3 * i))) for i in range(40)]
+    items = [(k if k % 5 else None, " ".join(word[(k * j) % 676] for j in range(5 * k))) for k in range(20)] + [(1, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = []
+    for i, x in docs:
+        for k, t in items:
+            mine, theirs = set(t.split()), set(x.split())
+            want.append((i, k, round(len(mine & theirs) / len(mine), 6) if len(mine) >= 10 and theirs else None))
+    found = Q.word_recall(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert [t.split(":")[1].split()[0] for t in map(str, found.schema.simpleString()[7:-1].split(","))] == ["bigint", "int", "double"]
+    # a document's words are not intersected with each item's
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "Join" not in plan
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
