@@ -3,7 +3,7 @@
 White space separates pre-tokens of the tokenizers used here, so a text's ids are those of its words one after another,
 and each distinct word of a batch is encoded once.  Most words are Latin letters with a tail of marks: letters and tail
 are pre-tokens of their own, so distinct letter strings are encoded many to a text and told apart by the ids that end
-a pre-token.
+a pre-token.  A process keeps the ids of the letter strings that it met, up to a bound.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import encode_words
 
 END = 1
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below U+0100 alone.
+LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: Letter strings whose ids a process keeps (some 15 MB).
+KNOWN = 1 << 19
 
 
 def default_path() -> str:
@@ -69,29 +74,79 @@ def _encode_letters(tokenizer, ends: np.ndarray, words: list[str]) -> tuple[np.n
     return ids, np.diff(stop, prepend=0)
 
 
-def _encode_distinct(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+class _Known:
+    """Letter strings already encoded in this process, with their ids, for one tokenizer: `KNOWN` at most."""
+
+    def __init__(self):
+        self.letters = pa.array([], pa.large_string())
+        self.ids, self.lens = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def encode(self, tokenizer, ends: np.ndarray, letters: pa.Array) -> tuple[np.ndarray, pa.LargeListArray]:
+        """Where each of some distinct letter strings lies in a list of ids, and that list."""
+        at = _found(letters, self.letters)
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.letters) + len(new) > KNOWN:
+            self.__init__()
+            at, new = np.full(len(letters), -1), np.arange(len(letters))
+        if len(new):
+            at[new] = len(self.letters) + np.arange(len(new))
+            fresh = letters.take(pa.array(new))
+            ids, lens = _encode_letters(tokenizer, ends, fresh.to_pylist())
+            self.letters = pa.concat_arrays([self.letters, fresh])
+            self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+        found = at, _lists(self.ids, self.lens)
+        if len(self.letters) > KNOWN:
+            self.__init__()
+        return found
+
+
+@lru_cache(maxsize=4)
+def _known(path: str) -> _Known:
+    return _Known()
+
+
+def _found(values: pa.Array, within: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.index_in(values, value_set=within), -1)).astype(np.int64)
+
+
+def _lists(flat: np.ndarray, lens: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)])), pa.array(flat))
+
+
+def _flat(lists: pa.LargeListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of lists one after another, and how many each has."""
+    return np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+
+
+def _tails(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What follows the stem of each word."""
+    _, offsets, data = words.buffers()
+    stop = np.frombuffer(offsets, dtype=np.int64)[words.offset + 1 : words.offset + 1 + len(words)]
+    many = np.asarray(pc.subtract(pc.binary_length(words), pc.binary_length(stems))).astype(np.int64)
+    tails = np.frombuffer(data, dtype=np.uint8)[gather(stop - many, many)] if many.any() else np.zeros(0, dtype=np.uint8)
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], np.cumsum(many)])), pa.py_buffer(tails.tobytes()))
+
+
+def _encode_distinct(words: pa.Array, path: str) -> pa.LargeListArray:
+    """Ids of each of some distinct words."""
     tokenizer, ends = load(path)
     if ends is None:
-        return _encode_each(tokenizer, words)
-    letters: dict[str, int] = {}
-    others: dict[str, int] = {"": 0}
-    a, b = np.empty(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-    for k, w in enumerate(words):
-        stem = w.rstrip(MARKS)
-        if stem.isalpha() and max(stem) < "Ā":
-            a[k] = letters.setdefault(stem.lower(), len(letters))
-            b[k] = others.setdefault(w[len(stem) :], len(others))
-        else:
-            a[k] = -1
-            b[k] = others.setdefault(w, len(others))
-    ids_a, len_a = _encode_letters(tokenizer, ends, list(letters))
-    ids_b, len_b = _encode_each(tokenizer, list(others))
-    flat = np.concatenate([ids_a, ids_b])
-    lens = np.concatenate([len_a, len_b, [0]])
-    first = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    pair = np.stack([np.where(a < 0, len(lens) - 1, a), b + len(len_a)], axis=1)
-    many = lens[pair]
-    return flat[gather(first[pair].ravel(), many.ravel())], many.sum(axis=1)
+        return _lists(*_encode_each(tokenizer, words.to_pylist()))
+    stems = pc.utf8_rtrim(words, characters=MARKS)
+    plain = pc.match_substring_regex(stems, LETTERS)
+    # words of letters and a tail; of others the whole word is the tail
+    stems = pc.if_else(plain, stems, pa.scalar("", pa.large_string()))
+    letters = pc.utf8_lower(stems).dictionary_encode()
+    tails = _tails(words, stems).dictionary_encode()
+    stem_at, stem_ids = _known(path).encode(tokenizer, ends, letters.dictionary.filter(pc.not_equal(letters.dictionary, "")))
+    tail_ids = _lists(*_encode_each(tokenizer, tails.dictionary.to_pylist()))
+    none = pc.fill_null(pc.index_in(pa.scalar("", pa.large_string()), value_set=letters.dictionary), -1).as_py()
+    if none >= 0:  # no letters, no ids
+        stem_at = np.insert(stem_at, none, len(stem_ids) + len(tail_ids))
+    parts = pa.concat_arrays([stem_ids, tail_ids, pa.array([[]], stem_ids.type)])
+    pair = np.stack([stem_at[np.asarray(letters.indices)], len(stem_ids) + np.asarray(tails.indices).astype(np.int64)], axis=1)
+    flat, many = _flat(parts.take(pa.array(pair.ravel())))
+    return _lists(flat, many.reshape(-1, 2).sum(axis=1))
 
 
 def token_ids(text: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +157,9 @@ def token_ids(text: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np
 def words_and_ids(text: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids and their offsets as `token_ids` gives them; codes of the words and their offsets."""
     words, codes, offsets = encode_words(text, lower=False)
-    flat, lens = _encode_distinct(words.to_pylist(), path)
-    flat, lens = np.append(flat, np.uint32(end)), np.append(lens, 1)
-    first = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    ended = np.insert(codes, offsets[1:], len(lens) - 1)
-    many = lens[ended]
-    id_offsets = np.concatenate([[0], np.cumsum(many)])[offsets + np.arange(len(offsets))]
-    return flat[gather(first[ended], many)], id_offsets, codes, offsets
+    lists = _encode_distinct(words, path)
+    lists = pa.concat_arrays([lists, pa.array([[end]], lists.type)])
+    ended = np.insert(codes, offsets[1:], len(lists) - 1)
+    taken = lists.take(pa.array(ended))
+    id_offsets = np.asarray(taken.offsets)[offsets + np.arange(len(offsets))]
+    return np.asarray(taken.flatten()), id_offsets, codes, offsets

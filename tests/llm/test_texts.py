@@ -236,6 +236,26 @@ def test_mixing_meets_targets(spark):
     assert all(abs(r.k - r.t) <= 0.08 * r.t for r in got)
 
 
+def test_letter_strings_are_encoded_once_a_process_up_to_a_bound(monkeypatch):
+    from folioscope.llm import tokens
+
+    path = tokens.default_path()
+    tokenizer, _ = tokens.load(path)
+    encoded, encode = [], tokens._encode_letters
+    monkeypatch.setattr(tokens, "_encode_letters", lambda tok, ends, words: (encoded.append(list(words)), encode(tok, ends, words))[1])
+    monkeypatch.setattr(tokens, "KNOWN", 6)
+    tokens._known.cache_clear()
+    batches = [["Zebra zebra! Éclair µm x1 ...", None], ["ZEBRA (éclair) ok", ""], ["one two three four five six seven eight zebra"], ["zebra, Ok ǅ İstanbul ß! 日本."], ["", None]]
+    for texts in batches:
+        ids, off = tokens.token_ids(pa.array(texts, pa.large_string()), path)
+        want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, tokens.END] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want
+    tokens._known.cache_clear()
+    # known ones are left out; what passes the bound is encoded and forgotten
+    assert encoded[:2] == [["zebra", "éclair", "µm"], ["ok"]]
+    assert len(encoded[2]) == 9 and encoded[3] == ["zebra", "ok", "ß"]
+
+
 def test_token_ids_match_the_tokenizer():
     path = tokens.default_path()
     tokenizer, _ = tokens.load(path)
