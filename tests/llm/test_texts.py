@@ -273,6 +273,20 @@ def test_range_coder_round_trip(n):
         assert (range_coder.decode(data) == ids).all()
 
 
+def test_range_coder_writes_the_same_bytes_from_flat_tables_of_counts_in_floats():
+    rng = np.random.default_rng(5)
+    # long runs drive counts over the limit; the code is that of the first writer of the format
+    ids = np.concatenate([np.zeros(3000, dtype=np.int64), rng.zipf(1.3, 3000) % 500, np.arange(1500) % 7 * 7000]).astype(np.uint32)
+    data = range_coder.encode(ids)
+    assert (len(data), zlib.crc32(data)) == (3222, 990560473)
+    assert (range_coder.decode(data) == ids).all()
+    lanes = range_coder.Lanes(3, 10)
+    lanes.look(3)
+    event = np.array([range_coder.NEW, 0, 5])
+    start, wide = lanes.range(3, event)
+    assert (start + wide == lanes.upto[np.arange(3), event]).all() and start[1] == 0
+
+
 def test_range_coder_learns_and_checks():
     ids = (np.arange(20_000) % 50).astype(np.uint32)
     data = range_coder.encode(ids)
