@@ -2,7 +2,7 @@
 
 Documents are dealt to partitions by ranges of doc_id and sorted there; a task tokenises its range and cuts it, between
 documents, into segments of about `SEGMENT` ids.  A row of the file is a segment: its place (part, seq), the ids of its
-part before it, the doc_ids and id counts of its documents, and the code (see range_coder), whose blocks are reset and
+part before it, the doc_ids and id counts of its documents, and the code (see block_coder), whose blocks are reset and
 checksummed on their own.  Rows are written and read by Spark, so commits and lost tasks are Spark's matter and any store
 that Spark reads will do.  Reading needs the segments before a part only as one sum a part.
 
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .block_coder import decode, encode
 from .common import pieces, scratch_dir, table
-from .range_coder import decode, encode
-from .tokens import default_path, token_ids
+from .tokens import default_path, stops, token_ids
 
-SEGMENT = 1 << 21
+SEGMENT = 6 << 20
 #: Bytes of text of a part.
-PART = 24 << 20
+PART = 44 << 20
 #: One row a part; broadcast up to so many.
 BROADCAST_PARTS = 500_000
 
@@ -50,7 +50,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, segment: int
             doc_ids = pa.concat_arrays(held)
             lens = np.concatenate(held_lens)
             one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), one(doc_ids), one(pa.array(lens)), pa.array([encode(ids)], pa.binary())], ["part", "seq", "before", "n_ids", "doc_ids", "doc_lens", "code"])
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), one(doc_ids), one(pa.array(lens)), pa.array([encode(ids, stops(ids, tokenizer))], pa.binary())], ["part", "seq", "before", "n_ids", "doc_ids", "doc_lens", "code"])
             seq, before = seq + 1, before + len(ids)
             held, held_ids, held_lens, n = [], [], [], 0
             return row

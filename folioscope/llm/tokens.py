@@ -53,6 +53,29 @@ def load(path: str):
     return tokenizer, ends
 
 
+@lru_cache(maxsize=4)
+def _closing(path: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """For each id whether it ends a pre-token, and whether it has marks alone."""
+    tokenizer, ends = load(path)
+    if ends is None:
+        return None
+    ends, marks = ends.copy(), np.zeros(len(ends), dtype=bool)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        marks[i] = token[0] in MARKS
+    ends[END], marks[END] = True, False
+    return ends, marks
+
+
+def stops(ids: np.ndarray, path: str) -> np.ndarray | None:
+    """Ids that end a word with the marks that follow it (None: not known of this tokenizer)."""
+    known = _closing(path)
+    if known is None:
+        return None
+    stop = known[0].take(ids, mode="clip")
+    stop[:-1] &= ~known[1].take(ids[1:], mode="clip")
+    return stop
+
+
 def gather(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Indices first[0], first[0] + 1, ... of many[0] items, then of the next run, and so on."""
     stop = np.cumsum(many)

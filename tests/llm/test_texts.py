@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import lm, mixing, packing, quality, range_coder, simhash, subwords, token_files, tokens, toxicity
+from folioscope.llm import block_coder, lm, mixing, packing, quality, range_coder, simhash, subwords, token_files, tokens, toxicity
 from folioscope.llm.common import split_words
 
 
@@ -299,6 +299,34 @@ def test_range_coder_learns_and_checks():
         range_coder.decode(b"x" * 64)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 60, 2049, 5000])
+def test_block_coder_round_trip(n):
+    rng = np.random.default_rng(n)
+    for ids in (rng.integers(0, 49_408, n), rng.zipf(1.3, n) % 49_408, np.zeros(n, dtype=int), rng.integers(0, 2**32 - 1, n)):
+        ids = ids.astype(np.uint32)
+        for stops in (None, rng.random(n) < 0.5, np.zeros(n, dtype=bool)):
+            assert (block_coder.decode(block_coder.encode(ids, stops)) == ids).all()
+
+
+def test_block_coder_takes_a_step_a_word_and_checks():
+    path = tokens.default_path()
+    text = " ".join(f"thoningin erersh, {w}ndstha. eawhly" for w in "the of and there ndtion".split() * 300)
+    ids, _ = tokens.token_ids(pa.array([text, "", "a"]), path)
+    stops = tokens.stops(ids, path)
+    data = block_coder.encode(ids, stops)
+    assert (block_coder.decode(data) == ids).all()
+    # a word and its marks are one unit, or units of four ids; the end id ends one
+    units, distinct, _, most = block_coder.MORE.unpack_from(data, range_coder.HEADER.size)
+    assert most == 4 and units < len(ids) / 2 and distinct < 40
+    assert stops[-1] and stops[ids == tokens.END].all()
+    assert len(data) < len(range_coder.encode(ids)) and (block_coder.decode(range_coder.encode(ids)) == ids).all()
+    for at in (-3, len(data) // 2, 60):
+        broken = bytearray(data)
+        broken[at] ^= 0x55
+        with pytest.raises(ValueError):
+            block_coder.decode(bytes(broken))
+
+
 def test_token_files(spark, odd_docs, no_docs, tmp_path):
     tokenizer, _ = tokens.load(tokens.default_path())
     path = str(tmp_path / "files")
