@@ -54,12 +54,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(side: DataFrame, most: int = 50_000) -> DataFrame:
+    """side (a scratch table) marked for broadcast if it has up to `most` rows, else for a join by shuffle.  Unmarked, Spark
+    sizes tables by their compressed files and takes an explode to add no rows: what it then broadcasts can be many times
+    larger than its threshold, and all of it passes through the driver."""
+    return F.broadcast(side) if side.count() <= most else side.hint("merge")
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, on: str, at: str, n: str, least: int, most: int = 50_000) -> DataFrame:
-    """rows joined with counted (a scratch table of one row a key `at`, with the number `n` of its rows) where on = at.  Keys
-    of `least` rows or more, and of more than a `most`th of all (so `most` of them at most), are joined by broadcast: no
-    task gathers the rows of a frequent key.  The others are joined by shuffle."""
-    many = max(least, (counted.agg(F.sum(n)).first()[0] or 0) // most)
-    hot, cold = counted.where(F.col(n) >= many), counted.where(F.col(n) < many)
+    """rows joined with counted (a scratch table of one row a key `at`, with the number `n` of its rows) where on = at.  Up to
+    `most` keys are joined by broadcast.  Of more, those of `least` rows or more, and of more than a `most`th of all (so `most`
+    of them at most), are: no task gathers the rows of a frequent key.  The others are joined by shuffle (see `sized`)."""
+    total, keys = counted.agg(F.sum(n), F.count("*")).first()
+    if keys <= most:
+        return rows.join(F.broadcast(counted), F.col(on) == F.col(at))
+    many = max(least, total // most)
+    hot, cold = counted.where(F.col(n) >= many), counted.where(F.col(n) < many).hint("merge")
     if not hot.head(1):
         return rows.join(cold, F.col(on) == F.col(at))
     few = F.broadcast(hot)

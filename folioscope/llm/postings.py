@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, discard, join_counted, materialize
+from .common import cells, discard, join_counted, materialize, sized
 
 CELL = 100_000
 TILE = 8192
@@ -121,7 +121,7 @@ def links(entries: DataFrame, words: list[str], bits: int, least: int, nodes: Da
     if repeated:
         held = held.dropDuplicates(["key", "node"])
     if nodes is not None:
-        held = held.join(nodes.select(F.col("node").alias("x"), *more), F.col("node") == F.col("x")).drop("x")
+        held = held.join(sized(nodes.select(F.col("node").alias("x"), *more)), F.col("node") == F.col("x")).drop("x")
     held = materialize(held, "postings")
     n = cells(held.sparkSession, held.count(), cell)
     spread = held.withColumn("tiles", F.ceil(F.col("m") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import postings
-from .common import materialize, pieces, table
+from .common import materialize, pieces, sized, table
 from .components import components
 
 MAX_BITS = 4
@@ -107,11 +107,11 @@ def groups(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> D
 def named_groups(fps: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, fp, component_id and root of each row of fps (doc_id, fp), from its nodes (fp, first, n) and links."""
     comp = components(found).select(F.col("node").alias("fp"), "component")
-    roots = nodes.join(comp, "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"), F.col("component").isNotNull().alias("linked"))
+    roots = nodes.join(sized(comp), "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"), F.col("component").isNotNull().alias("linked"))
     # a root's smallest document; only what is linked or repeated can differ from its own
     known = materialize(roots.where("linked or n > 1"), "simhash-known")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select(F.col("fp").alias("known_fp"), "component_id", "root")
+    least = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
+    named = known.join(sized(least), "root").select(F.col("fp").alias("known_fp"), "component_id", "root")
     out = fps.join(named, F.col("fp") == F.col("known_fp"), "left")
     component = F.when(F.col("known_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return out.select("doc_id", "fp", component, F.coalesce("root", "fp").alias("root"))
@@ -129,7 +129,7 @@ def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
     out = _without(docs, found.where(~first).select("doc_id").union(again.select("doc_id")).distinct())
     if again.head(1):
         # the rows of a repeated id may hold different texts: of these few, each row is looked at again
-        rows = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+        rows = docs.join(sized(again, BROADCAST_IDS), docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
         at, fp_name = docs.columns.index("text"), "fp_" + "_".join(docs.columns)
         keep_id, keep_fp, keep_root = (f"{k}_{fp_name}" for k in ("id", "keep", "root"))
 
@@ -141,14 +141,13 @@ def drop_near_copies(docs: DataFrame, index=None, mark=None) -> DataFrame:
         marked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(fp_name, LongType())]))
         keep = found.where(first).select(F.col("doc_id").alias(keep_id), F.col("fp").alias(keep_fp), F.col("root").alias(keep_root)).distinct()
         hit = marked["doc_id"].eqNullSafe(keep[keep_id]) & (marked[fp_name] == keep[keep_fp])
-        out = out.unionByName(marked.join(keep, hit).dropDuplicates(["doc_id", keep_root]).select(*docs.columns))
+        out = out.unionByName(marked.join(sized(keep), hit).dropDuplicates(["doc_id", keep_root]).select(*docs.columns))
     return out
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = materialize(ids.select(F.col("doc_id").alias("gone_id")), "simhash-gone")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["gone_id"]), "left_anti")
+    return docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"].eqNullSafe(ids["gone_id"]), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

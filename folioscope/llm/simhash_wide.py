@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .common import cells, discard, materialize, pieces
+from .common import cells, discard, materialize, pieces, sized
 from .components import components
 from .simhash import BROADCAST_IDS, named_groups, shingle_hashes
 from .subwords import mix64
@@ -172,10 +172,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int) ->
             sets = [shingles(t.as_py(), width) for t in x.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([number(majority(h)) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["own", "shingles"])
 
-    ids = materialize(nodes.join(clusters, "fp").select(F.col("first").alias("some_id")).distinct(), "wide-ids")
-    rows = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["some_id"]), "left_semi")
+    ids = materialize(nodes.join(sized(clusters), "fp").select(F.col("first").alias("some_id")).distinct(), "wide-ids")
+    rows = docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"].eqNullSafe(ids["some_id"]), "left_semi")
     sets = rows.select("text").mapInArrow(run, "own long, shingles binary")
-    return clusters.join(sets, F.col("fp") == F.col("own")).groupBy("fp", "cluster").agg(F.first("shingles").alias("shingles"))
+    return sized(clusters).join(sets, F.col("fp") == F.col("own")).groupBy("fp", "cluster").agg(F.first("shingles").alias("shingles"))
 
 
 def exact_links(docs: DataFrame, fps: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:

@@ -265,3 +265,25 @@ def test_html_names_do_not_silence_an_article():
     links = "".join(f'<li><a href="/{k}">Story {k}</a></li>' for k in range(5))
     page = f'<article><p>{prose}</p><div class="related">{links}</div><div class="comments"><p>Great post!</p></div></article><div class="sidebar"><p>{prose.upper()}</p></div>'
     assert html_extract.main_text(page) == prose.strip()
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark sizes an explode as its input: rows of many keys must be joined by shuffle, however small the file they come from."""
+    from pyspark.sql import functions as F
+
+    from folioscope.llm.common import join_counted, materialize, sized
+
+    base = materialize(spark.range(300), "exploded-base")
+    rows = base.select(F.explode(F.sequence(F.col("id"), F.col("id") + 99)).alias("key"), F.col("id").alias("node"))
+    counted = materialize(rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")), "exploded-counts")
+    cold = join_counted(rows, counted, "key", "k", "m", 10**6, most=100)
+    hot = join_counted(rows, counted, "key", "k", "m", 100, most=350)
+    few = join_counted(rows, counted, "key", "k", "m", 100)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(cold) and "SortMergeJoin" in plan(cold)
+    assert "SortMergeJoin" in plan(hot) and "BroadcastHashJoin" in plan(hot)
+    assert "SortMergeJoin" not in plan(few)
+    for df in (cold, hot, few):
+        assert df.agg(F.count("*"), F.sum("m")).first() == rows.join(counted, F.col("key") == F.col("k")).agg(F.count("*"), F.sum("m")).first()
+    assert "Broadcast" not in plan(base.join(sized(counted, 398), F.col("id") == F.col("k")))
+    assert "BroadcastHashJoin" in plan(base.join(sized(counted, 399), F.col("id") == F.col("k")))
