@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ ADD_K = 0.1
 BROADCAST_WORDS = 500_000
 SALTS = 32
 RARE = 50_000
+#: Pages of a document that are scored together, and distinct trigrams of pages that a task counts before it gives them on.
+CHUNK = 32
+MODEL_ENTRIES = 1 << 20
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
@@ -68,7 +73,9 @@ def default_lexicon(pages: DataFrame, least_pages: int = 3) -> DataFrame:
 def invalid_tokens(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     """doc_id, page_no, n_countable, n_bad, n_gibberish, bad: array<struct<n, first, token, gibberish>> by count
     (largest first, first occurrence on ties)."""
-    tokens = pages.select(*PAGE, F.substring(F.coalesce("language", F.lit("en")), 1, 2).alias("lang"), F.posexplode(countable_tokens(F.col("prose"))).alias("pos", "token"))
+    # dealt out as texts, a page's words are counted where they are: a row a word would take many times the disk
+    dealt = pages.select(*PAGE, "language", "prose").repartition(*PAGE)
+    tokens = dealt.select(*PAGE, F.substring(F.coalesce("language", F.lit("en")), 1, 2).alias("lang"), F.posexplode(countable_tokens(F.col("prose"))).alias("pos", "token"))
     per = tokens.groupBy(*PAGE, "lang", "token").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     pages_of_word = F.sum("n") if "n" in lexicon.columns else F.lit(None).cast("long")
     known = held(lexicon.groupBy(F.col("token").alias("key")).agg(F.array_join(F.collect_set("lang"), ",").alias("langs"), pages_of_word.alias("pages")), "lexicon")
@@ -105,40 +112,115 @@ def prepared(text: Column) -> Column:
     return F.concat(F.lit(" "), normalize(text), F.lit(" "))
 
 
-def trigrams(text: Column) -> Column:
-    """Character trigrams of a prepared text."""
-    last = lambda t: F.length(t) - 2
-    at = lambda t: F.when(last(t) >= 1, F.sequence(F.lit(1), last(t))).otherwise(F.expr("cast(array() as array<int>)"))
-    return let(text, lambda t: F.transform(at(t), lambda i: F.substring(t, i, F.lit(3))))
+def trigram_codes(text: str) -> np.ndarray:
+    """Character trigrams of a prepared text, in order, each as three code points in one number."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
+
+
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sum of the counts of each."""
+    known, at = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *codes]), return_inverse=True)
+    return known, np.bincount(at, weights=np.concatenate([np.zeros(0), *counts]), minlength=len(known))
+
+
+def trigram_bits(x: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits of each trigram of x by a document's counts: its third character after the two before, add-`ADD_K`."""
+    letter = np.uint64(21)
+    context, first = np.unique(codes >> letter, return_index=True)
+    sums = np.add.reduceat(counts, first) if len(first) else counts
+    v = len(np.unique(np.concatenate([codes >> np.uint64(42), (codes >> letter) & np.uint64(0x1FFFFF), codes & np.uint64(0x1FFFFF)])))
+
+    def found(keys, values, k):
+        if not len(keys):
+            return np.zeros(len(k))
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return np.where(keys[at] == k, values[at], 0.0)
+
+    return -np.log2((found(codes, counts, x) + ADD_K) / (found(context, sums, x >> letter) + ADD_K * max(v, 1)))
+
+
+def _page_models(batches):
+    """Counts of trigrams by document: one row a document and task, or more where a task's grow large."""
+    held_, size = {}, 0
+
+    def flush():
+        rows = [(d, *summed(*zip(*parts, strict=True))) for d, parts in held_.items()]
+        held_.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["doc_id", "codes", "counts"])
+
+    for batch in batches:
+        for doc, pages in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for page in pages.as_py():
+                part = np.unique(trigram_codes(page["prepared"]), return_counts=True)
+                held_.setdefault(doc, []).append(part)
+                size += len(part[0])
+            if size > MODEL_ENTRIES:
+                yield flush()
+                size = 0
+    if held_:
+        yield flush()
+
+
+def _score_chunk(doc, pages: list[dict], model: list[dict] | None) -> list[tuple]:
+    """page_no, surprisal, worst sentences of the pages of a chunk, by the model given or, without one, by their own counts."""
+    unit, of, x, split = {}, [], [], []
+    for page in pages:
+        own = trigram_codes(page["prepared"])
+        for pos, codes in [(-1, own), *((k, trigram_codes(s["prepared"])) for k, s in enumerate(page["sentences"]))]:
+            of.append(np.full(len(codes), unit.setdefault((page["page_no"], pos), len(unit))))
+            x.append(codes)
+        split += [(page["page_no"], k, s["sentence"]) for k, s in enumerate(page["sentences"])]
+    if model is not None:
+        codes, counts = summed([np.frombuffer(m["codes"], dtype=np.uint64) for m in model], [np.frombuffer(m["counts"], dtype=np.float64) for m in model])
+    else:
+        codes, counts = np.unique(np.concatenate([trigram_codes(page["prepared"]) for page in pages]), return_counts=True)
+    if doc is None:  # pages of no document have no model
+        codes, counts = codes[:0], counts[:0]
+    at, bits = np.concatenate(of), trigram_bits(np.concatenate(x), codes, counts.astype(np.float64))
+    n = np.bincount(at, minlength=len(unit))
+    mean = np.bincount(at, weights=bits, minlength=len(unit)) / np.maximum(n, 1)
+    worst: dict = {}
+    for page_no, pos, sentence in split:
+        u = unit[page_no, pos]
+        b = float(mean[u]) if n[u] else None
+        worst.setdefault(page_no, []).append(((b is not None, -(b or 0.0), pos, sentence), {"order": None if b is None else -b, "pos": pos, "bits": b, "sentence": sentence}))
+    first = lambda page_no: [w for _, w in sorted(worst.get(page_no, []), key=lambda w: w[0])[:3]]
+    return [(page_no, float(mean[u]), first(page_no)) for (page_no, pos), u in unit.items() if pos == -1 and n[u]]
 
 
-def trigram_model(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document: trigram counts (doc_id, tri, c3), context counts (doc_id, ctx, c2), vocabulary size (doc_id, v)."""
-    tri = pages.where(~is_blank(F.col("prose"))).select("doc_id", F.explode(trigrams(prepared(F.col("prose")))).alias("tri"))
-    c3 = tri.groupBy("doc_id", "tri").agg(F.count("*").alias("c3"))
-    c2 = c3.groupBy("doc_id", F.substring("tri", 1, 2).alias("ctx")).agg(F.sum("c3").alias("c2"))
-    chars = c3.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.substring("tri", i, F.lit(1)))).alias("ch"))
-    return c3, c2, chars.groupBy("doc_id").agg(F.count_distinct("ch").alias("v"))
+_WORST = pa.list_(pa.struct([("order", pa.float64()), ("pos", pa.int32()), ("bits", pa.float64()), ("sentence", pa.string())]))
 
 
-def surprisal(units: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], keys: list[str]) -> DataFrame:
-    """keys, surprisal: mean bits a character of each unit (keys hold doc_id; column `unit_text`)."""
-    c3, c2, v = model
-    tri = units.select(*keys, F.explode(trigrams(prepared(F.col("unit_text")))).alias("tri")).groupBy(*keys, "tri").agg(F.count("*").alias("n"))
-    tri = tri.join(c3, ["doc_id", "tri"], "left").withColumn("ctx", F.substring("tri", 1, 2)).join(c2, ["doc_id", "ctx"], "left").join(v, "doc_id", "left")
-    p = (F.coalesce("c3", F.lit(0)) + ADD_K) / (F.coalesce("c2", F.lit(0)) + ADD_K * F.greatest(F.coalesce("v", F.lit(1)), F.lit(1)))
-    return tri.groupBy(*keys).agg((F.sum(-F.col("n") * F.log2(p)) / F.sum("n")).alias("surprisal"))
+def _scored_pages(batches):
+    for batch in batches:
+        for doc, pages, model in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            rows = _score_chunk(doc, pages.as_py(), model.as_py())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], _WORST)], ["doc_id", "page_no", "surprisal", "worst"])
 
 
 def page_fluency(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, page_no, surprisal, worst: array<struct<order, pos, bits, sentence>>) and the bounds of a document."""
-    model = trigram_model(pages)
-    prose = pages.where(~is_blank(F.col("prose"))).select(*PAGE, F.lit(-1).alias("pos"), F.col("prose").alias("unit_text"))
-    split = pages.select(*PAGE, F.posexplode(sentences(F.col("prose"))).alias("pos", "unit_text"))
-    scored = surprisal(prose.union(split), model, [*PAGE, "pos"])
-    texts = split.join(scored, [*PAGE, "pos"], "left").select(*PAGE, F.struct((-F.col("surprisal")).alias("order"), "pos", F.col("surprisal").alias("bits"), F.col("unit_text").alias("sentence")).alias("s"))
-    worst = texts.groupBy(*PAGE).agg(F.slice(F.array_sort(F.collect_list("s")), 1, 3).alias("worst"))
-    per_page = scored.where("pos = -1").select(*PAGE, "surprisal").join(worst, PAGE, "left")
+    """(doc_id, page_no, surprisal: mean bits a character of the page, worst: array<struct<order, pos, bits, sentence>>) of
+    pages with prose, and the bounds of a document.
+
+    Trigrams are counted and looked up in chunks of `CHUNK` pages of a document: only texts are shuffled, once, and the counts
+    of documents of more than one chunk.  A row a trigram would take dozens of times the disk of the texts."""
+    some = pages.where(~is_blank(F.col("prose"))).select(F.col("doc_id").cast("string"), F.col("page_no").cast("int"), "prose")
+    chunks = some.groupBy("doc_id", F.floor(F.col("page_no") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("page_no", "prose")).alias("pages"))
+    chunks = held(chunks.select("doc_id", "pages"), "chunks")
+    many = chunks.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    split = F.transform("pages", lambda p: F.struct(p["page_no"].alias("page_no"), prepared(p["prose"]).alias("prepared"), F.transform(sentences(p["prose"]), lambda s: F.struct(s.alias("sentence"), prepared(s).alias("prepared"))).alias("sentences")))
+    model = "array<struct<codes: binary, counts: binary>>"
+    if many.head(1):
+        texts = F.transform("pages", lambda p: F.struct(prepared(p["prose"]).alias("prepared")))
+        parts = chunks.join(many, "doc_id", "left_semi").select("doc_id", texts.alias("pages")).mapInArrow(_page_models, "doc_id string, codes binary, counts binary")
+        models = held(parts.groupBy("doc_id").agg(F.collect_list(F.struct("codes", "counts")).cast(model).alias("model")), "models")
+        units = chunks.join(models, "doc_id", "left").select("doc_id", split.alias("pages"), "model")
+    else:
+        units = chunks.select("doc_id", split.alias("pages"), F.lit(None).cast(model).alias("model"))
+    scored = units.mapInArrow(_scored_pages, "doc_id string, page_no int, surprisal double, worst array<struct<order: double, pos: int, bits: double, sentence: string>>")
+    per_page = held(scored, "fluency")
     return per_page, fluency_bounds(per_page)
 
 
@@ -153,6 +235,21 @@ def fluency_bounds(per_page: DataFrame) -> DataFrame:
     return sorted_.select("doc_id", F.when(n >= 4, low).otherwise(mid).alias("ppl_good"), F.when(n >= 4, F.greatest(high, low * 1.5 + 0.5)).otherwise(mid * 1.8 + 0.8).alias("ppl_bad"))
 
 
+def top_ngram(text: Column, n: int) -> Column:
+    """struct<top_ngram, top_count>: the most frequent run of n words of a text, the first on ties; null without any."""
+    grams = F.array_sort(F.transform(ngrams(word_tokens(F.lower(text)), n), lambda g, i: F.struct(g.alias("gram"), i.alias("pos"))))
+    none = F.expr("named_struct('gram', cast(null as string), 'c', 0, 'first', 0, 'top_ngram', cast(null as string), 'top_count', 0, 'top_first', 0)")
+
+    def step(a, x):
+        same = a["gram"].eqNullSafe(x["gram"])
+        c, first = F.when(same, a["c"] + 1).otherwise(1), F.when(same, a["first"]).otherwise(x["pos"])
+        better = (c > a["top_count"]) | ((c == a["top_count"]) & (first < a["top_first"]))
+        best = [F.when(better, new).otherwise(a[k]).alias(k) for k, new in (("top_ngram", x["gram"]), ("top_count", c), ("top_first", first))]
+        return F.struct(x["gram"].alias("gram"), c.alias("c"), first.alias("first"), *best)
+
+    return let(F.aggregate(grams, none, step), lambda a: F.when(a["top_ngram"].isNotNull(), F.struct(a["top_ngram"].alias("top_ngram"), a["top_count"].alias("top_count"))))
+
+
 def top_ngrams(pages: DataFrame, n: int) -> DataFrame:
     """doc_id, page_no, top_ngram, top_count: the most frequent run of n words, the first on ties."""
     text = F.when(F.col("prose") != "", F.col("prose")).otherwise(F.col("text"))

@@ -247,7 +247,7 @@ def stopword_count(words: Column, lang: Column) -> Column:
 
 
 def sfc(c: Config) -> Column:
-    lang, n = stopword_language(F.col("language")), F.size("words")
+    lang, n = stopword_language(F.col("language")), F.col("n_words")
     seen = F.col("stop_n") / n
     expected = F.when(lang == "de", STOPWORD_SHARE["de"]).otherwise(STOPWORD_SHARE["en"])
     raw = F.abs(seen - expected)
@@ -318,7 +318,7 @@ def word_shapes(tokens: Column, longest: int) -> dict[str, Column]:
 
 
 def wsa(c: Config) -> Column:
-    n = F.size("raw_words")
+    n = F.col("n_raw")
     s = {k: F.col("shapes")[k] for k in ("merged", "single", "hyphen", "alnum")}
     bad = F.size(s["merged"]) + F.size(s["single"]) + F.size(s["hyphen"]) + F.size(s["alnum"])
     raw = bad / n
@@ -394,17 +394,16 @@ SOURCES = ["text", "prose", "body", "md_text", "html_text", "html_plain", "nativ
 
 def features(pages: DataFrame, config: Config, lexicon: DataFrame | None = None) -> DataFrame:
     """pages with everything that metrics read: texts and tokens, language, document medians and fluency bounds, unknown
-    words, repeated runs, and agreement with other sources.  Pages with their texts and tokens are written once; each
-    relation that is joined to them reads its own columns of that."""
-    p = C.page_languages(with_text(pages))
-    p = held(p.withColumns({"words": T.word_tokens(F.col("prose")), "raw_words": T.raw_tokens(F.col("prose"))}), "pages")
+    words, repeated runs, and agreement with other sources.  Pages with their texts are written once; each relation that is
+    joined to them reads its own columns of that, and all meet in small rows first, so texts are shuffled once."""
+    p = held(C.page_languages(with_text(pages)), "pages")
     lexicon = lexicon if lexicon is not None else C.default_lexicon(p)
     fluency, bounds = C.page_fluency(p)
-    median = C.median_blocks(p)
-    p = p.join(C.invalid_tokens(p, lexicon), C.PAGE, "left").join(fluency, C.PAGE, "left").join(C.top_ngrams(p, config.xsa_repeat_ngram), C.PAGE, "left")
-    p = p.join(median, "doc_id", "left").join(bounds, "doc_id", "left")
+    small = p.select(*C.PAGE).distinct().join(C.median_blocks(p), "doc_id", "left").join(bounds, "doc_id", "left")
+    small = small.join(C.invalid_tokens(p, lexicon), C.PAGE, "left").join(fluency, C.PAGE, "left")
+    p = p.join(held(small, "page-features"), C.PAGE, "left")
     first, then = _once("features", config, _feature_columns)
-    return p.withColumns(first).withColumns(then)
+    return p.withColumns(first).withColumns(then).withColumns({"n_words": F.size("words"), "n_raw": F.size("raw_words"), "top_ngram": F.col("top.top_ngram"), "top_count": F.col("top.top_count")}).drop("words", "raw_words", "top")
 
 
 #: Expressions by what they are, session and configuration: building thousands of them takes longer than a small run.
@@ -421,7 +420,7 @@ def _once(what: str, config: Config, build):
 def _feature_columns(config: Config) -> tuple[dict[str, Column], dict[str, Column]]:
     """What a page's own columns give, in two steps."""
     body = F.when(F.col("prose") != "", F.col("prose")).otherwise(F.col("text"))
-    first = {"no_prose": T.is_blank(F.col("prose")), "body": body, "html_plain": T.normalize(T.strip_html(F.col("html_text")))}
+    first = {"words": T.word_tokens(F.col("prose")), "raw_words": T.raw_tokens(F.col("prose")), "no_prose": T.is_blank(F.col("prose")), "body": body, "html_plain": T.normalize(T.strip_html(F.col("html_text")))}
     shapes = word_shapes(F.col("raw_words"), config.l_max_token)
     punct = punctuation_parts(F.col("prose"), F.col("words"))
     then = {
@@ -436,6 +435,7 @@ def _feature_columns(config: Config) -> tuple[dict[str, Column], dict[str, Colum
         "shapes": F.struct(*[v.alias(k) for k, v in shapes.items()]),
         "punct": F.struct(*[v.alias(k) for k, v in punct.items()]),
         "tables": M.analyze_tables(F.transform(F.filter("blocks", lambda b: b["is_table"]), lambda b: T.nz(b["html"]))),
+        "top": C.top_ngram(F.col("body"), config.xsa_repeat_ngram),
         "trigram_rep": T.trigram_repetition(F.col("body")),
         "gzip_ratio": M.gzip_ratio(F.col("body")),
         "md_recall": T.text_recall(F.col("text"), F.col("md_text")),
@@ -454,7 +454,7 @@ def _metric_array(config: Config) -> Column:
 def page_metrics(pages: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """doc_id, page_no, image_path, token_count, blocks, metrics: the fourteen results of each page in order."""
     f = held(features(pages, config, lexicon).drop(*SOURCES), "features")  # two plans of half the size compile far sooner
-    return f.select("doc_id", "page_no", "image_path", F.size("words").cast("long").alias("token_count"), _once("metrics", config, _metric_array))
+    return f.select("doc_id", "page_no", "image_path", F.col("n_words").cast("long").alias("token_count"), _once("metrics", config, _metric_array))
 
 
 def metric_rows(metrics: DataFrame) -> DataFrame:
